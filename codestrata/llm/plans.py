@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import byte_bpe, cooccurrence, mixing
+from codestrata.llm import byte_bpe, cooccurrence, mixing, syntax
 from codestrata.tables import table
 
 
@@ -18,6 +18,14 @@ def p7_shares(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p2_found(spark, d):
+    return syntax.broken_files(table(spark, d, "source_files"))
+
+
+def p2_rates(spark, d):
+    return syntax.broken_rates(table(spark, d, "source_files"))
+
+
 def p3_found(spark, d):
     pairs = cooccurrence.coupled_paths(table(spark, d, "commits"))
     return pairs.where("together >= 5 and together * n >= 3 * count_a * count_b").select("scan_id", "a", "b")
@@ -32,7 +40,7 @@ def p3_counts(spark, d):
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_pairs": p3_pairs, "p3_counts": p3_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_counts": p3_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 PLAIN = r"regexp_replace(regexp_replace(replace(x, '\', '/'), '/+', '/', 'g'), '^(\./)+', '')"
