@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import byte_bpe, cooccurrence, mixing, syntax
+from codestrata.llm import byte_bpe, cooccurrence, mixing, residue, syntax
 from codestrata.tables import table
 
 
@@ -39,8 +39,16 @@ def p3_counts(spark, d):
     return cooccurrence.coupled_paths(table(spark, d, "commits")).select("scan_id", "a", "b", "together", "count_a", "count_b", "n", "confidence")
 
 
+def p8_found(spark, d):
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_reasons(spark, d):
+    return residue.residue(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_counts": p3_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p8_found": p8_found, "p8_reasons": p8_reasons, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_counts": p3_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 PLAIN = r"regexp_replace(regexp_replace(replace(x, '\', '/'), '/+', '/', 'g'), '^(\./)+', '')"
