@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import byte_bpe, cooccurrence, mixing, provenance, residue, syntax
+from codestrata.llm import byte_bpe, cooccurrence, mixing, names, provenance, residue, syntax
 from codestrata.tables import table
 
 
@@ -39,6 +39,14 @@ def p3_counts(spark, d):
     return cooccurrence.coupled_paths(table(spark, d, "commits")).select("scan_id", "a", "b", "together", "count_a", "count_b", "n", "confidence")
 
 
+def p4_found(spark, d):
+    return names.author_names(table(spark, d, "commits"))
+
+
+def p4_entities(spark, d):
+    return names.name_entities(table(spark, d, "commits"), "scan_id", "author").withColumnRenamed("space", "scan_id")
+
+
 def p5_found(spark, d):
     return provenance.machine_files(table(spark, d, "source_files"), table(spark, d, "skipped_files")).select("file_id")
 
@@ -56,7 +64,7 @@ def p8_reasons(spark, d):
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_reasons": p5_reasons, "p8_found": p8_found, "p8_reasons": p8_reasons, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_counts": p3_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_reasons": p5_reasons, "p8_found": p8_found, "p8_reasons": p8_reasons, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_counts": p3_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 PLAIN = r"regexp_replace(regexp_replace(replace(x, '\', '/'), '/+', '/', 'g'), '^(\./)+', '')"
