@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import cut, stage
+from codestrata.session import cut, frame_stage, stage
 
 #: Graphs of up to so many edges are solved inside one task (about 30 MB of strings); larger ones by label propagation over DataFrames.
 TASK_EDGES = 200_000
@@ -58,6 +58,7 @@ def components_of(src: Iterable[str], dst: Iterable[str]) -> list[list[str]]:
     return found
 
 
+@frame_stage
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         graphs, nodes, groups, sizes = [], [], [], []

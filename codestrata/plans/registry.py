@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codestrata.plans import snapshots
+from codestrata.plans import codebase, snapshots
 
-MODULES = [snapshots]
+MODULES = [snapshots, codebase]
 
 
 def queries() -> dict:

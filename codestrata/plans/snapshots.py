@@ -22,14 +22,14 @@ PLAIN = r"regexp_replace(regexp_replace(replace({}, '\', '/'), '/+', '/', 'g'),
 
 #: Numbered complete snapshots and their rows, as DuckDB SQL.
 ROWS_SQL = f"""
-f AS (SELECT scan_id, commit_id, delivery_no, {PLAIN.format('path')} AS path, lower(blob) AS blob, loc, depends_on, read_at
+f AS (SELECT scan_id, commit_id, delivery_no, {PLAIN.format('path')} AS path, lower(blob) AS blob, bytes, loc, depends_on, read_at
       FROM snapshot_files WHERE path IS NOT NULL),
 held AS (SELECT scan_id, commit_id, delivery_no, count(DISTINCT path) AS held FROM f GROUP BY ALL),
 said AS (SELECT scan_id, commit_id, delivery_no, max(file_count) AS file_count, min(snap_time) AS snap_time FROM snapshots GROUP BY ALL),
 whole AS (SELECT s.* FROM said s LEFT JOIN held h USING (scan_id, commit_id, delivery_no) WHERE coalesce(h.held, 0) = s.file_count),
 latest AS (SELECT scan_id, commit_id, max(delivery_no) AS delivery_no, arg_max(snap_time, delivery_no) AS snap_time FROM whole GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY snap_time, commit_id) AS idx FROM latest),
-r AS (SELECT scan_id, commit_id, idx, path, arg_max(blob, read_at) AS blob, arg_max(loc, read_at) AS loc, arg_max(depends_on, read_at) AS depends_on
+r AS (SELECT scan_id, commit_id, idx, path, arg_max(blob, read_at) AS blob, arg_max(bytes, read_at) AS bytes, arg_max(loc, read_at) AS loc, arg_max(depends_on, read_at) AS depends_on
       FROM f JOIN n USING (scan_id, commit_id, delivery_no) GROUP BY ALL)
 """
 

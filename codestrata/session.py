@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,3 +48,20 @@ def spread(df: DataFrame, *keys: str, factor: int = 4) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(factor * cores, *keys)
+
+
+def frame_stage(work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for ``mapInPandas`` whose results pass :func:`settled`."""
+
+    @functools.wraps(work)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return settled(work(frames))
+
+    return run
+
+
+def settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Result frames of a Python stage as Arrow takes them: no empty ones, and text as plain objects."""
+    for frame in frames:
+        if len(frame):
+            yield frame.astype({c: object for c, kind in frame.dtypes.items() if isinstance(kind, pd.StringDtype)})
