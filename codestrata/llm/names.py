@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.session import spread, stage
+from codestrata.session import frame_stage, spread, stage
 
 # Short forms of given names, each with the names it may stand for.
 SHORT_FORMS = {
@@ -139,6 +139,7 @@ def fits(change: str, variant: str, meant: str) -> bool:
     return True
 
 
+@frame_stage
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = [parse(a) for a in pdf["name"]]
@@ -146,6 +147,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[keep].assign(kind=[g[0] for g in got if g], key=[g[1] for g in got if g])
 
 
+@frame_stage
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [(s, kind, key, n, b, None) for s, kind, key, n in zip(pdf["space"], pdf["kind"], pdf["key"], pdf["n"]) if kind == "full" for b in offers(key)]
@@ -153,6 +155,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["space", "kind", "key", "n", "block", "change"])
 
 
+@frame_stage
 def _fitting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf[[fits(c, v, m) for c, v, m in zip(pdf["change"], pdf["key"], pdf["meant"])]]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import file_name, parent_dir, path_prefixes, plain_path
-from codestrata.session import spread, stage
+from codestrata.session import frame_stage, spread, stage
 
 # Conventions of many projects, as lines of an attribute file; they hold where a repository declares nothing.
 CONVENTIONS = r"""
@@ -109,6 +109,7 @@ def traits(path: str, raw: bytes, owner: str) -> tuple[bool, bool, bool, bool, s
     return generated, vendored, minified, data, xxhash.xxh128_hexdigest(body)
 
 
+@frame_stage
 def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = [traits(p, bytes(c), (r or "").split("/")[0]) for p, c, r in zip(pdf["path"], pdf["content"], pdf["repo"])]

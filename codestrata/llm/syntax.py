@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codestrata.functions.paths import extension
 from codestrata.llm import grammars, lexers
 from codestrata.llm.gll import EOF, NL, Grammar, recognise
-from codestrata.session import spread, stage
+from codestrata.session import frame_stage, spread, stage
 
 #: Extension: (grammar text, dialects of the grammar, start rules, lexer, markup).
 _JS_STARTS = ("Module", "Script")
@@ -46,6 +46,7 @@ def parses(language: str, text: str) -> bool:
     return bool(recognise(grammar_of(language), tokens, list(starts)))
 
 
+@frame_stage
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         verdicts = []
