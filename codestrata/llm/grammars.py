@@ -19,7 +19,7 @@ ECMA = r"""
 @Assignment := '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '&=' | '^=' | '|=' | '&&=' | '||=' | '??=' | '>' '>='  | '>' '>' '>=' ;
 @Binary := '+' | '-' | '*' | '/' | '%' | '**' | '<<' | '<' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '&' | '|' | '^' | '&&' | '||' | '??'
   | 'instanceof' | 'in' | '>' | '>' '>' | '>' '>' '>' | @Assignment ;
-@Primary := @Id ('=>' ArrowBody)? | 'async' @Id '=>' ArrowBody | NUM | STR | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | PRIVATE 'in' @Id | TPL | Template | ArrayLit | ObjectLit | FunctionExpr | ClassExpr
+@Primary := @Id ('=>' ArrowBody)? | 'async' @Id '=>' ArrowBody | NUM | STR | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | PRIVATE 'in' Operand | TPL | Template | ArrayLit | ObjectLit | FunctionExpr | ClassExpr
   | '(' Expr ')' | Arrow | 'new' '.' 'target' | 'import' '(' Assign (',' Assign)? ','? ')' | 'import' '.' 'meta' ?jsx{ | Markup } ;
 @Postfix := '.' (@Word | PRIVATE) | '?.' (@Word | PRIVATE) | '?.'? '[' Expr ']' | '?.'? Args | TPL | Template | '++' | '--'
   ?ts{ | '!' | '?.'? TypeArgs Args | TypeArgs (TPL | Template) | ('as' | 'satisfies') Type | 'as' 'const' } ;
@@ -44,7 +44,7 @@ Block = '{' Stmt* '}' ;
 Stmt = Block | ';' | @Declaration | Expr-('{' 'function' 'class') SEMI | @Id ':' Stmt
   | 'if' '(' Expr ')' Stmt ('else' Stmt)?
   | 'for' 'await'? '(' ( ForInit? ';' Expr? ';' Expr? | ForHead ('of' | 'in') Expr ) ')' Stmt
-  | 'while' '(' Expr ')' Stmt | 'do' Stmt 'while' '(' Expr ')' (';' | )
+  | ('while' | 'with') '(' Expr ')' Stmt | 'do' Stmt 'while' '(' Expr ')' (';' | )
   | ('break' | 'continue') @Id? SEMI | 'return' Expr? SEMI | 'throw' Expr SEMI | 'debugger' SEMI
   | 'switch' '(' Expr ')' '{' ('case' Expr ':' Stmt* | 'default' ':' Stmt*)* '}'
   | 'try' Block ( 'catch' ('(' Target ?ts{ (':' Type)? } ')')? Block ('finally' Block)? | 'finally' Block ) ;

@@ -178,6 +178,18 @@ def _markup(text: str, at: int, put, stack: list, mode: str) -> int | None:
             put("STR")
         else:
             op = m[3]
+            if op == "<" and name and not closing and text[m.start() : m.end() - 1].strip() == "":
+                depth, end = 1, at  # type arguments of a tag
+                while depth and end < len(text):
+                    depth += {"<": 1, ">": -1}.get(text[end], 0)
+                    end += 1
+                inner = ecma(text[at : end - 1])
+                if depth or inner is None:
+                    return None
+                for token in ["<", *inner[:-1], ">"]:
+                    put(token)
+                at = end
+                continue
             put(op)
             if op in ".:" and not attributes or op == ":":
                 name.append(op)

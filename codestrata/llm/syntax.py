@@ -68,16 +68,16 @@ def language_key(path: Column) -> Column:
 
 
 def judged_files(files: DataFrame) -> DataFrame:
-    """``files`` with ``parses``: false where every dialect of the language of the extension rejects the content, null where there is no content or no known extension.
+    """``file_id, repo, language, parses``: false where every dialect of the language of the extension rejects the content, null where there is no content or no known extension.
 
-    Content that repeats under the same language is parsed once. Bytes that are no UTF-8 do not parse. A file of any
-    length is parsed whole, in one row; empty tables give none.
+    Content that repeats under the same language is parsed once. Bytes that are no UTF-8 do not parse; blank contents
+    parse. Null paths and repeated rows are judged like others; a file of any length is parsed whole, in one row; empty
+    tables give none; other columns are ignored.
     """
-    keyed = files.withColumn("_kind", language_key(F.col("rel_path"))).withColumn("_digest", F.sha2("content", 256))
-    once = keyed.where("content is not null and _kind is not null").groupBy(F.col("_digest").alias("digest"), F.col("_kind").alias("kind")).agg(F.any_value("content").alias("content"))
+    keyed = files.select("file_id", "repo", "language", "content", language_key(F.col("rel_path")).alias("kind"), F.sha2("content", 256).alias("digest"))
+    once = keyed.where("content is not null and kind is not null").groupBy("digest", "kind").agg(F.any_value("content").alias("content"))
     verdicts = spread(once, "digest", "kind").mapInPandas(_judge, "digest string, kind string, parses boolean")
-    joined = keyed.join(verdicts, (F.col("_digest") == F.col("digest")) & (F.col("_kind") == F.col("kind")), "left")
-    return joined.drop("_kind", "_digest", "digest", "kind")
+    return keyed.drop("content").join(verdicts, ["digest", "kind"], "left").select("file_id", "repo", "language", "parses")
 
 
 def broken_files(files: DataFrame) -> DataFrame:
