@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = " \t\r\n\f\u000b"
-
 # File extensions of the seven languages, manifests, directories never walked, and asset extensions.
 LANGUAGES = {"ts": "TypeScript", "mts": "TypeScript", "cts": "TypeScript", "tsx": "TSX", "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "jsx": "JSX", "rs": "Rust", "py": "Python", "pyi": "Python", "go": "Go"}
 MANIFESTS = ["package.json", "tsconfig.json", "jsconfig.json", "Cargo.toml", "pyproject.toml", "setup.py", "setup.cfg", "go.mod", "go.work", ".gitignore"]
@@ -21,30 +19,21 @@ def language_of(extension: Column) -> Column:
     return F.coalesce(*[F.when(extension == e, F.lit(v)) for e, v in LANGUAGES.items()])
 
 
-def lines(text: Column) -> Column:
-    """Lines as an editor counts them: no empty one after a final line end."""
-    parts = F.split(text, "\r?\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+#: A block comment that begins its line, with all of its first and last line; open ones reach to the end.
+_BLOCK = r"(?dm)^[\h\x0b\f\r\x85]*(?=/\*)(?s:.*?)(?:\*/[^\n]*|\z)"
 
 
 def loc(text: Column, language: Column) -> Column:
     """Lines of code: neither blank nor comment. A line inside or opening a block comment counts as comment, in every language."""
-    step = F.transform(lines(text), lambda line: F.btrim(line, F.lit(BLANKS)))
-    mark = F.when(language == "Python", F.lit("#")).otherwise(F.lit("//"))
-
-    def walk(acc: Column, line: Column) -> Column:
-        block, n = acc["block"], acc["n"]
-        closes = F.contains(line, F.lit("*/"))
-        opens = F.startswith(line, F.lit("/*"))
-        in_block = F.when(block, ~closes).otherwise(opens & ~closes)
-        counts = ~block & (line != "") & ~opens & ~F.startswith(line, mark)
-        return F.struct(in_block.alias("block"), (n + counts.cast("int")).alias("n"))
-
-    return F.aggregate(step, F.struct(F.lit(False).alias("block"), F.lit(0).alias("n")), walk, lambda acc: acc["n"])
+    bare = F.regexp_replace(text, _BLOCK, "")
+    begins = lambda mark: F.regexp_count(bare, F.lit(rf"(?dm)^[\h\x0b\f\r\x85]*(?!{mark})[^\h\v]"))
+    return F.when(language == "Python", begins("#")).otherwise(begins("//"))
 
 
 def total_lines(text: Column) -> Column:
-    return F.size(lines(text))
+    """Lines as an editor counts them: no empty one after a final line end."""
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return ends + ((text != "") & ~F.endswith(text, F.lit("\n"))).cast("int")
 
 
 def severity_for(score: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import cut, frame_stage, stage
+from codestrata.session import cut, frame_stage, spread, stage
 
 #: Graphs of up to so many edges are solved inside one task (about 30 MB of strings); larger ones by label propagation over DataFrames.
 TASK_EDGES = 200_000
@@ -141,7 +141,8 @@ def cycle_groups(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     small = clean
     if big.limit(1).count():
         small = clean.join(big, "graph", "left_anti")
-    gathered = small.groupBy("graph").agg(F.collect_list(F.struct("src", "dst")).alias("e")).select("graph", F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
+    # graphs are small here, so they are spread by number before they are gathered
+    gathered = spread(small, "graph", shuffled=True).groupBy("graph").agg(F.collect_list(F.struct("src", "dst")).alias("e")).select("graph", F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
     solved = gathered.mapInPandas(_solve, schema)
     if not big.limit(1).count():
         return solved

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,34 +30,30 @@ def module_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     return with_modules(edges, files).where("src_module <> dst_module").groupBy("scan_id", "src_module", "dst_module").agg(F.count("*").alias("edges"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
-    """``scan_id, seed, path, depth``: what each seed reaches in one step or more, the seed itself left out.
+def _walk(front: DataFrame, steps: DataFrame, key: list[str]) -> DataFrame:
+    """All rows that ``front`` reaches by ``steps`` (``scan_id, path, next``), itself included.
 
-    Breadth-first over all graphs and seeds: each round joins only the files met in the round before, and the met pairs
-    are cut from their lineage into the shared folder.
+    Breadth-first over all graphs at once: a round joins only the rows met in the round before, and each round's new
+    rows are cut from their lineage into the shared folder.
     """
+    fronts = [cut(front.select(*key, "path").distinct())]
+    while fronts[-1].limit(1).count():
+        new = fronts[-1].join(steps, ["scan_id", "path"]).select(*key, F.col("next").alias("path")).distinct()
+        fronts.append(cut(new.join(reduce(DataFrame.unionByName, fronts), [*key, "path"], "left_anti")))
+    return reduce(DataFrame.unionByName, fronts)
+
+
+def reach(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
+    """``scan_id, seed, path``: what each seed reaches in one step or more, the seed itself left out."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     steps = edges.select("scan_id", F.col(a).alias("path"), F.col(b).alias("next"))
-    front = cut(seeds.select("scan_id", "seed", F.col("seed").alias("path"), F.lit(0).alias("depth")).distinct())
-    met, depth = front, 0
-    while front.limit(1).count():
-        depth += 1
-        new = front.join(steps, ["scan_id", "path"]).select("scan_id", "seed", F.col("next").alias("path")).distinct()
-        front = cut(new.join(met, ["scan_id", "seed", "path"], "left_anti").withColumn("depth", F.lit(depth)))
-        met = cut(met.unionByName(front))
-    return met.where("path <> seed")
+    return _walk(seeds.select("scan_id", "seed", F.col("seed").alias("path")), steps, ["scan_id", "seed"]).where("path <> seed")
 
 
 def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``scan_id, path``: files that depend on any of the ``seeds`` (``scan_id, path``), directly or not; seeds are left out."""
-    front = cut(seeds.select("scan_id", "path").distinct())
-    met = front
     steps = edges.select("scan_id", F.col("dst").alias("path"), F.col("src").alias("next"))
-    while front.limit(1).count():
-        new = front.join(steps, ["scan_id", "path"]).select("scan_id", F.col("next").alias("path")).distinct()
-        front = cut(new.join(met, ["scan_id", "path"], "left_anti"))
-        met = cut(met.unionByName(front))
-    return met.join(seeds.select("scan_id", "path"), ["scan_id", "path"], "left_anti")
+    return _walk(seeds, steps, ["scan_id"]).join(seeds.select("scan_id", "path"), ["scan_id", "path"], "left_anti")
 
 
 def orphans(files: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:

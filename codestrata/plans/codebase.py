@@ -14,7 +14,7 @@ from codestrata.operators import graph, history, timeline, tree
 from codestrata.operators.cycles import cycle_groups
 from codestrata.operators.snapshots import complete_snapshots, snapshot_rows
 from codestrata.plans.snapshots import PLAIN, ROWS_SQL
-from codestrata.session import stage
+from codestrata.session import spread, stage
 from codestrata.tables import table
 
 #: The layers and rules that the layering queries use.
@@ -131,11 +131,11 @@ def q_shortest_cycle(s):
 def q_impact(s):
     fan = s.fan
     top = fan.groupBy("scan_id").agg(F.min_by("path", F.struct(-F.col("fan_in"), "path")).alias("path"))
-    return graph.impact(s.edges, top)
+    return graph.impact(stage(s.edges), stage(top))
 
 
 def q_dependencies_of(s):
-    return graph.reach(s.edges, s.files.select("scan_id", F.col("path").alias("seed"))).select("scan_id", "seed", "path")
+    return graph.reach(stage(s.edges), s.files.select("scan_id", F.col("path").alias("seed"))).select("scan_id", "seed", "path")
 
 
 def q_orphans(s):
@@ -281,7 +281,7 @@ def q_skipped_reasons(s):
 
 
 def q_loc_count(s):
-    src = s.table("source_files").where("content is not null")
+    src = spread(s.table("source_files").where("content is not null").select("file_id", "rel_path", "content"))
     body = F.decode("content", "UTF-8")
     return src.select("file_id", T.loc(body, T.language_of(extension(plain_path(F.col("rel_path"))))).alias("loc"), T.total_lines(body).alias("total_lines"))
 

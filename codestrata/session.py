@@ -39,15 +39,17 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str, factor: int = 4) -> DataFrame:
-    """Give CPU-heavy Python stages enough tasks when the input has only a few splits.
+def spread(df: DataFrame, *keys: str, factor: int = 4, shuffled: bool = False) -> DataFrame:
+    """Give CPU-heavy Python stages enough tasks where the bytes alone would make few.
 
-    Large inputs already have more splits than cores and are passed through without a shuffle.
+    A scan with more splits than cores is passed through. The result of a shuffle (``shuffled``) is always spread, as
+    adaptive execution sizes its tasks by bytes, and as asking for its number of tasks would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    tasks = max(factor * cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if shuffled else 0)
+    if not shuffled and df.rdd.getNumPartitions() >= 2 * cores:
         return df
-    return df.repartition(factor * cores, *keys)
+    return df.repartition(tasks, *keys)
 
 
 def frame_stage(work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
