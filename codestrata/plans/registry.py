@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codestrata.plans import codebase, snapshots
+from codestrata.plans import codebase, snapshots, sources
 
-MODULES = [snapshots, codebase]
+MODULES = [snapshots, codebase, sources]
 
 
 def queries() -> dict:
