@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,7 +49,9 @@ def parses(language: str, text: str) -> bool:
 
 @frame_stage
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    gc.disable()  # the stack graphs hold many small tuples and hardly any rings
     for pdf in batches:
+        gc.collect()
         verdicts = []
         for kind, raw in zip(pdf["kind"], pdf["content"]):
             try:
@@ -76,7 +79,7 @@ def judged_files(files: DataFrame) -> DataFrame:
     """
     keyed = files.select("file_id", "repo", "language", "content", language_key(F.col("rel_path")).alias("kind"), F.sha2("content", 256).alias("digest"))
     once = keyed.where("content is not null and kind is not null").groupBy("digest", "kind").agg(F.any_value("content").alias("content"))
-    verdicts = spread(once, "digest", "kind").mapInPandas(_judge, "digest string, kind string, parses boolean")
+    verdicts = spread(once, "digest", "kind", shuffled=True).mapInPandas(_judge, "digest string, kind string, parses boolean")
     return keyed.drop("content").join(verdicts, ["digest", "kind"], "left").select("file_id", "repo", "language", "parses")
 
 
