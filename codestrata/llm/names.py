@@ -176,7 +176,7 @@ def name_entities(names: DataFrame, space: str, name: str, min_posterior: float
     """
     kind = names.schema[space].dataType.simpleString()
     spelled = names.where(F.col(space).isNotNull() & F.col(name).isNotNull()).groupBy(F.col(space).alias("space"), F.col(name).alias("name")).agg(F.count("*").alias("n"))
-    parsed = stage(spread(spelled).mapInPandas(_parsed, f"space {kind}, name string, n long, kind string, key string"))
+    parsed = stage(spread(spelled, shuffled=True).mapInPandas(_parsed, f"space {kind}, name string, n long, kind string, key string"))
     forms = parsed.groupBy("space", "kind", "key").agg(F.sum("n").alias("n"))
     blocks = stage(forms.mapInPandas(_blocks, f"space {kind}, kind string, key string, n long, block string, change string"))
     sought = blocks.where("change is not null")
