@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codestrata.plans import codebase, snapshots, sources
+from codestrata.plans import codebase, reports, snapshots, sources
 
-MODULES = [snapshots, codebase, sources]
+MODULES = [snapshots, codebase, sources, reports]
 
 
 def queries() -> dict:
