@@ -294,8 +294,8 @@ def q_case_fold_match(s):
 
 
 CLEAN_SQL = f"""
-c0 AS (SELECT scan_id, id, arg_max(commit_time, ingested_at) AS commit_time, arg_max(author, ingested_at) AS author, arg_max(files, ingested_at) AS files
-       FROM commits WHERE id IS NOT NULL AND scan_id IS NOT NULL GROUP BY ALL),
+c0 AS (SELECT scan_id, id, commit_time, author, files FROM commits WHERE id IS NOT NULL AND scan_id IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY scan_id, id ORDER BY ingested_at DESC NULLS LAST, commit_time DESC NULLS LAST, author DESC NULLS LAST, files DESC NULLS LAST) = 1),
 clean AS (SELECT scan_id, id, commit_time, author, list_sort(list_distinct(list_transform(list_filter(coalesce(files, []), lambda x: x IS NOT NULL), lambda x: {PLAIN.format('x')}))) AS files FROM c0),
 touched AS (SELECT scan_id, id, commit_time, author, unnest(files) AS path FROM clean),
 hist0 AS (SELECT scan_id, path, count(*) AS commits, min(commit_time) AS first_touched, max(commit_time) AS last_touched, count(DISTINCT author) AS authors FROM touched GROUP BY ALL),

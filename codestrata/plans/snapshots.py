@@ -29,8 +29,8 @@ said AS (SELECT scan_id, commit_id, delivery_no, max(file_count) AS file_count,
 whole AS (SELECT s.* FROM said s LEFT JOIN held h USING (scan_id, commit_id, delivery_no) WHERE coalesce(h.held, 0) = s.file_count),
 latest AS (SELECT scan_id, commit_id, max(delivery_no) AS delivery_no, arg_max(snap_time, delivery_no) AS snap_time FROM whole GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY snap_time, commit_id) AS idx FROM latest),
-r AS (SELECT scan_id, commit_id, idx, path, arg_max(blob, read_at) AS blob, arg_max(bytes, read_at) AS bytes, arg_max(loc, read_at) AS loc, arg_max(depends_on, read_at) AS depends_on
-      FROM f JOIN n USING (scan_id, commit_id, delivery_no) GROUP BY ALL)
+r AS (SELECT scan_id, commit_id, idx, path, blob, bytes, loc, depends_on FROM f JOIN n USING (scan_id, commit_id, delivery_no)
+      QUALIFY row_number() OVER (PARTITION BY scan_id, idx, path ORDER BY read_at DESC NULLS LAST, blob DESC NULLS LAST, bytes DESC NULLS LAST, loc DESC NULLS LAST) = 1)
 """
 
 SQL = {
