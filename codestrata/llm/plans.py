@@ -70,7 +70,8 @@ def queries() -> dict:
 PLAIN = r"regexp_replace(regexp_replace(replace(x, '\', '/'), '/+', '/', 'g'), '^(\./)+', '')"
 
 COUNTS_SQL = f"""
-last AS (SELECT scan_id, id, arg_max(files, ingested_at) AS files FROM commits WHERE id IS NOT NULL AND scan_id IS NOT NULL GROUP BY ALL),
+last AS (SELECT scan_id, id, files FROM commits WHERE id IS NOT NULL AND scan_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY scan_id, id ORDER BY ingested_at DESC NULLS LAST, files DESC NULLS LAST) = 1),
 baskets AS (SELECT scan_id, id, list_distinct(list_transform(list_filter(files, lambda x: x IS NOT NULL), lambda x: {PLAIN})) AS held FROM last),
 kept AS (SELECT * FROM baskets WHERE len(held) BETWEEN 1 AND 50),
 n AS (SELECT scan_id, count(*) AS n FROM kept GROUP BY 1),
