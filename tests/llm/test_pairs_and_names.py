@@ -30,9 +30,9 @@ def test_tail_equals_convolution():
 
 
 def test_null_keeps_degrees_and_sizes():
-    k, n, s, m = [1, 4, 15], [60, 12, 3], [1, 3, 9], [40, 25, 9]
+    k, n, s, m = [1, 4, 15], [60, 12, 3], [1, 3, 9], [40, 10, 9]
     s_total, k_total = sum(a * b for a, b in zip(s, m)), sum(a * b for a, b in zip(k, n))
-    assert s_total > 0 and k_total > 0
+    assert k_total >= s_total
     m[0] += k_total - s_total  # both sides hold as many incidences
     x, y = co.fit_null(k, n, s, m)
     p = np.outer(x, y) / (1 + np.outer(x, y))
