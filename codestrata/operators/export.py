@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
 from codestrata.operators.graph import degrees, module_edges
+from codestrata.operators.running import row_numbers
 
 
 def diagram_parts(files: DataFrame, edges: DataFrame, groups: DataFrame, max_nodes: int = 120) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -36,8 +37,8 @@ def _lines(parts: list[tuple[int, DataFrame, Column, list[Column]]]) -> DataFram
 
 def numbered(lines: DataFrame) -> DataFrame:
     """``scan_id, line_no, line`` in writing order."""
-    order = Window.partitionBy("scan_id").orderBy("part", "sort", "line")
-    return lines.select("scan_id", F.row_number().over(order).alias("line_no"), "line")
+    placed = row_numbers(lines, ["scan_id"], [F.col("part"), F.col("sort"), F.col("line")], "line_no")
+    return placed.select("scan_id", "line_no", "line")
 
 
 def d2(nodes: DataFrame, edges: DataFrame, left_out: DataFrame) -> DataFrame:

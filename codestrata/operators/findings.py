@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import text as T
 from codestrata.functions.globs import any_glob
 from codestrata.operators.history import percentile
+from codestrata.operators.running import row_numbers
 
 # Labels of the kinds.
 CYCLE, GOD, ORPHAN, UNSTABLE, LAYERS, BUS, DISTANT, CASE, RESOLVER, ALIAS = (
@@ -145,8 +146,7 @@ def capped(findings: DataFrame, max_per_kind: int = 100) -> DataFrame:
 
 def ranked(findings: DataFrame) -> DataFrame:
     """With ``position``: the place of each finding in its scan's report."""
-    order = Window.partitionBy("scan_id").orderBy(T.severity_rank(F.col("severity")).desc(), F.desc("score"), "headline")
-    return findings.withColumn("position", F.row_number().over(order))
+    return row_numbers(findings, ["scan_id"], [T.severity_rank(F.col("severity")).desc(), F.desc("score"), F.col("headline")], "position")
 
 
 def fingerprint() -> Column:

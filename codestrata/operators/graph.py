@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.operators.running import row_numbers, running
 from codestrata.session import cut
 
 
@@ -113,15 +114,20 @@ def levels(files: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
 
 def ordered(level_rows: DataFrame) -> DataFrame:
     """``scan_id, path, position``: a dependency order of the files of a scan, by level and path."""
-    return level_rows.select("scan_id", "path", (F.row_number().over(Window.partitionBy("scan_id").orderBy("level", "path")) - 1).alias("position"))
+    placed = row_numbers(level_rows.select("scan_id", "path", "level"), ["scan_id"], [F.col("level"), F.col("path")], "n")
+    return placed.select("scan_id", "path", (F.col("n") - 1).alias("position"))
 
 
 def module_bands(order: DataFrame, files: DataFrame) -> DataFrame:
-    """``scan_id, module, start, length``: runs of files of one module along the order."""
-    over = Window.partitionBy("scan_id").orderBy("position")
-    placed = order.join(files.select("scan_id", "path", "module"), ["scan_id", "path"])
-    turns = placed.withColumn("turn", (~F.col("module").eqNullSafe(F.lag("module").over(over))).cast("int")).withColumn("band", F.sum("turn").over(over))
-    return turns.groupBy("scan_id", "band", "module").agg(F.min("position").alias("start"), F.count("*").alias("length")).drop("band")
+    """``scan_id, module, start, length``: runs of files of one module along the order.
+
+    Each file is joined to the one before it; where the module turns a new run begins, and a running count numbers the runs.
+    """
+    placed = order.join(files.select("scan_id", "path", "module"), ["scan_id", "path"]).select("scan_id", "position", "module")
+    before = placed.select("scan_id", (F.col("position") + 1).alias("position"), F.col("module").alias("was"), F.lit(1).alias("has"))
+    turns = placed.join(before, ["scan_id", "position"], "left").withColumn("turn", (F.col("has").isNull() | ~F.col("module").eqNullSafe(F.col("was"))).cast("long"))
+    bands = running(turns.select("scan_id", "position", "module", "turn"), ["scan_id"], [F.col("position")], "turn", "band")
+    return bands.groupBy("scan_id", "band", "module").agg(F.min("position").alias("start"), F.count("*").alias("length")).drop("band")
 
 
 def back_edges(order: DataFrame, edges: DataFrame) -> DataFrame:

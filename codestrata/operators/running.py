@@ -26,3 +26,8 @@ def running(df: DataFrame, group: list[str], order: list[Column], value: str, ou
     if how == "min":
         return both.select(*cols, F.least("_own", "_before").alias(out))
     return both.select(*cols, (F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))).alias(out))
+
+
+def row_numbers(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """Add ``out``: the place of each row in its group from 1 on, by :func:`running`, so a hot group is numbered by many tasks."""
+    return running(df.withColumn("_one", F.lit(1).cast("long")), group, order, "_one", out).drop("_one")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
 from codestrata.operators.cycles import cycle_groups
+from codestrata.operators.running import running
 
 
 def sampled(numbered: DataFrame, steps: int = 6) -> DataFrame:
@@ -61,11 +62,12 @@ def cycle_changes(base_edges: DataFrame, head_edges: DataFrame) -> DataFrame:
 def as_of(events: DataFrame, states: DataFrame, group: str, at: str, value: str) -> DataFrame:
     """``events`` with the ``value`` of the last state of the same group at or before them; null before the first.
 
-    Both sides are put in one order and the last known value is carried on, so nothing is joined by range. Of states at
-    one time the greatest value holds.
+    Both sides are put in one order and a running count of the states numbers them; an event's count is the number of
+    its state, so the rest is an equal join and a hot group is spread over tasks. Of states at one time the greatest
+    value holds. Null times and groups of states are no states.
     """
-    marks = states.select(F.col(group), F.col(at), F.lit(0).alias("_side"), F.col(value).alias("_value"), F.lit(None).cast(events.schema.simpleString()).alias("_row"))
-    asks = events.select(F.col(group), F.col(at), F.lit(1).alias("_side"), F.lit(None).cast(states.schema[value].dataType).alias("_value"), F.struct(*events.columns).alias("_row"))
-    order = Window.partitionBy(group).orderBy(at, "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
-    known = asks.unionByName(marks).withColumn("_last", F.last("_value", ignorenulls=True).over(order))
-    return known.where("_side = 1").select("_row.*", F.col("_last").alias(value))
+    marks = states.where(F.col(group).isNotNull() & F.col(at).isNotNull()).select(F.col(group), F.col(at), F.lit(1).cast("long").alias("_state"), F.col(value).alias("_value"), F.lit(None).cast(events.schema.simpleString()).alias("_row"))
+    asks = events.select(F.col(group), F.col(at), F.lit(0).cast("long").alias("_state"), F.lit(None).cast(states.schema[value].dataType).alias("_value"), F.struct(*events.columns).alias("_row"))
+    counted = running(asks.unionByName(marks), [group], [F.col(at), F.col("_state").desc(), F.col("_value")], "_state", "_count")
+    known = counted.where("_state = 1").select(F.col(group), "_count", F.col("_value").alias("_last"))
+    return counted.where("_state = 0").drop("_value").join(known, [group, "_count"], "left").select("_row.*", F.col("_last").alias(value))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
 from codestrata.functions.paths import extension, parent_dir, path_prefixes
+from codestrata.operators.running import row_numbers
 from codestrata.operators.snapshots import snapshot_rows
 
 
@@ -33,7 +34,7 @@ def missing_targets(files: DataFrame) -> DataFrame:
 def modules(files: DataFrame) -> DataFrame:
     """``scan_id, module_id, module, files, loc``: directories, numbered from 0 in byte order of their paths."""
     summed = files.groupBy("scan_id", "module").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
-    return summed.withColumn("module_id", F.row_number().over(Window.partitionBy("scan_id").orderBy("module")) - 1)
+    return row_numbers(summed, ["scan_id"], [F.col("module")], "n").withColumn("module_id", F.col("n") - 1).drop("n")
 
 
 def path_rollup(files: DataFrame) -> DataFrame:

@@ -238,3 +238,18 @@ def test_exports_and_tour(spark):
     assert {(r.pattern, r.used_by, r.resolves) for r in audit.collect()} == {("@/*", 1, True), ("~/*", 0, False)}
     fixed, odd = tour.repair(spark.createDataFrame([(1, "a", "./x")], "scan_id long, src string, specifier string"), es, spark.createDataFrame([(1, "a", "./x", "b"), (1, "a", "./y", "c"), (1, "a", "./z", "a")], "scan_id long, src string, specifier string, dst string"))
     assert [r.dst for r in fixed.collect()] == ["b"] and [r.dst for r in odd.collect()] == ["c"]
+
+
+def test_module_bands_are_runs(spark):
+    rng = random.Random(3)
+    names = [f"{rng.choice('ab')}/{i:03}" for i in range(60)]
+    fs = files(spark, *[(n, 1) for n in names])
+    order = spark.createDataFrame([(1, n, i) for i, n in enumerate(names)], "scan_id long, path string, position long")
+    want, last = [], None
+    for i, n in enumerate(names):
+        if n[0] == last:
+            want[-1][2] += 1
+        else:
+            want.append([n[0], i, 1])
+        last = n[0]
+    assert sorted([r.module, r.start, r.length] for r in graph.module_bands(order, fs).collect()) == sorted(want)
