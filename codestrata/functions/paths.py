@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def plain_path(path: Column) -> Column:
     """One spelling per path: ``\\`` is read as ``/``, repeated ``/`` are one, leading ``./`` are dropped. Null stays null."""
     one = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+", "/")
-    return F.regexp_replace(one, r"^(\./)+", "")
+    odd = F.contains(path, F.lit("\\")) | F.contains(path, F.lit("//")) | F.startswith(path, F.lit("./"))
+    return F.when(odd, F.regexp_replace(one, r"^(\./)+", "")).otherwise(path)
 
 
 def file_name(path: Column) -> Column:

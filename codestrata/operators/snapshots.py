@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.paths import plain_path
 from codestrata.operators.cycles import cycle_groups
+from codestrata.session import stage
 
 SNAP = ["scan_id", "commit_id"]
 DELIVERY = [*SNAP, "delivery_no"]
@@ -33,7 +34,7 @@ def complete_snapshots(snapshots: DataFrame, files: DataFrame) -> DataFrame:
 
 def snapshot_rows(snapshots: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The numbered snapshots, and one row per snapshot and path (of repeats the one read last)."""
-    numbered = complete_snapshots(snapshots, files)
+    numbered = stage(complete_snapshots(snapshots, files))
     kept = files.select(*DELIVERY, plain_path(F.col("path")).alias("path"), F.lower("blob").alias("blob"), "bytes", "loc", "depends_on", "read_at").where("path is not null")
     last = F.struct("read_at", "blob", "bytes", "loc", "depends_on")
     rows = kept.join(numbered.select(*DELIVERY, "idx", "last_idx"), DELIVERY).groupBy("scan_id", "path", "idx", "last_idx").agg(F.max(last).alias("v"))
@@ -78,6 +79,7 @@ def snapshot_diff(snapshots: DataFrame, files: DataFrame) -> DataFrame:
     a scan with one snapshot, or empty tables, give no rows; extra columns are ignored.
     """
     numbered, rows = snapshot_rows(snapshots, files)
+    rows = stage(rows.select("scan_id", "path", "idx", "last_idx", "blob", "loc", "depends_on"))
     changes = path_changes(rows).select("scan_id", "idx", "path", "change")
     cycles = new_cycles(rows).withColumn("change", F.lit("cycle"))
     named = numbered.select("scan_id", "idx", "commit_id")
