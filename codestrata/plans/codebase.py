@@ -383,10 +383,10 @@ def _hist(select: str) -> str:
 SQL = {
     "fan_in_out": _tree("SELECT * FROM fan"),
     "module_edges": _tree("SELECT e.scan_id, a.module AS src_module, b.module AS dst_module, count(*) AS edges FROM e JOIN t a ON a.scan_id = e.scan_id AND a.path = e.src JOIN t b ON b.scan_id = e.scan_id AND b.path = e.dst WHERE a.module <> b.module GROUP BY ALL"),
-    "modules": _tree("SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY module) - 1 AS module_id FROM (SELECT scan_id, module, count(*) AS files, sum(loc) AS loc FROM t GROUP BY scan_id, module)"),
-    "path_rollup": _tree("""SELECT scan_id, dir, count(*) AS files, sum(greatest(loc, 1)) AS size FROM (SELECT scan_id, loc, unnest(list_distinct(list_concat([''], CASE WHEN module = '' THEN [] ELSE
+    "modules": _tree("SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY module) - 1 AS module_id FROM (SELECT scan_id, module, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM t GROUP BY scan_id, module)"),
+    "path_rollup": _tree("""SELECT scan_id, dir, count(*) AS files, CAST(sum(greatest(loc, 1)) AS BIGINT) AS size FROM (SELECT scan_id, loc, unnest(list_distinct(list_concat([''], CASE WHEN module = '' THEN [] ELSE
         list_transform(range(1, len(string_split(module, '/')) + 1), lambda k: array_to_string(list_slice(string_split(module, '/'), 1, k), '/')) END))) AS dir FROM t) GROUP BY ALL"""),
-    "language_counts": _tree(f"SELECT scan_id, {LANG} AS language, count(*) AS files, sum(loc) AS loc FROM t GROUP BY ALL"),
+    "language_counts": _tree(f"SELECT scan_id, {LANG} AS language, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM t GROUP BY ALL"),
     "missing_targets": _tree("SELECT * FROM imports i WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.scan_id = i.scan_id AND t.path = i.dst)"),
     "percentile_rank": _tree("SELECT scan_id, path, loc, round(CAST(CAST((rank() OVER (PARTITION BY scan_id ORDER BY loc) - 1) / count(*) OVER (PARTITION BY scan_id) AS FLOAT) AS DOUBLE), 6) AS p FROM t"),
     "tangle_members": f"WITH RECURSIVE {TREE_SQL}, {REACH_SQL} SELECT scan_id, node, component, size FROM member",
@@ -395,8 +395,8 @@ SQL = {
     "dependencies_of": f"WITH RECURSIVE {TREE_SQL}, {REACH_SQL} SELECT scan_id, a AS seed, b AS path FROM reach WHERE a <> b",
     "orphans": _tree(f"SELECT scan_id, path FROM t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.scan_id = t.scan_id AND e.dst = t.path) AND NOT {ENTRY}"),
     "file_history": _hist("SELECT scan_id, path, commits, first_touched, last_touched, authors, top_author, round(CAST(top_author_share AS DOUBLE), 6) AS top_author_share FROM hist"),
-    "repo_history": _hist("SELECT scan_id, count(*) AS total_commits, sum((len(files) > 0)::INT) AS with_files, max(commit_time) AS head_time FROM clean GROUP BY 1"),
-    "recent_history": _hist("SELECT scan_id, count(*) AS total_commits, sum((len(files) > 0)::INT) AS with_files, max(commit_time) AS head_time FROM clean c JOIN (SELECT scan_id, max(commit_time) AS hi FROM clean GROUP BY 1) USING (scan_id) WHERE commit_time >= hi - 90 * 86400 GROUP BY 1"),
+    "repo_history": _hist("SELECT scan_id, count(*) AS total_commits, CAST(sum((len(files) > 0)::INT) AS BIGINT) AS with_files, max(commit_time) AS head_time FROM clean GROUP BY 1"),
+    "recent_history": _hist("SELECT scan_id, count(*) AS total_commits, CAST(sum((len(files) > 0)::INT) AS BIGINT) AS with_files, max(commit_time) AS head_time FROM clean c JOIN (SELECT scan_id, max(commit_time) AS hi FROM clean GROUP BY 1) USING (scan_id) WHERE commit_time >= hi - 90 * 86400 GROUP BY 1"),
     "cochange_pairs": _hist("SELECT scan_id, a, b, together, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM co"),
     "top_authors": _hist("SELECT scan_id, count(DISTINCT top_author) AS top_authors FROM hist WHERE top_author IS NOT NULL GROUP BY 1"),
     "god_file": f"WITH {TREE_SQL}, {CLEAN_SQL}, {MEASURED_SQL}, {GOD_SQL} SELECT {SHOWN} FROM god",
@@ -413,16 +413,16 @@ SQL = {
     "findings_page": f"{ALL_SQL} SELECT * FROM (SELECT {SHOWN}, row_number() OVER (PARTITION BY scan_id ORDER BY sev DESC, score DESC, headline) AS position FROM (SELECT *, score AS s2 FROM rated WHERE severity = 'Medium')) WHERE position > 2 AND position <= 7",
     "top_depended": _tree("SELECT scan_id, path, fan_in FROM fan WHERE fan_in > 0 ORDER BY fan_in DESC, path, scan_id LIMIT 15"),
     "top_churn": _hist("SELECT scan_id, path, commits FROM hist ORDER BY commits DESC, path, scan_id LIMIT 15"),
-    "totals_summary": _tree("""SELECT scan_id, count(*) AS files, count(DISTINCT module) AS modules, sum(loc) AS loc, coalesce(any_value(ne), 0) AS edges, coalesce(any_value(nm), 0) AS missing FROM t
+    "totals_summary": _tree("""SELECT scan_id, count(*) AS files, count(DISTINCT module) AS modules, CAST(sum(loc) AS BIGINT) AS loc, coalesce(any_value(ne), 0) AS edges, coalesce(any_value(nm), 0) AS missing FROM t
         LEFT JOIN (SELECT scan_id, count(*) AS ne FROM e GROUP BY 1) USING (scan_id)
         LEFT JOIN (SELECT scan_id, count(*) AS nm FROM imports i WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.scan_id = i.scan_id AND t.path = i.dst) GROUP BY 1) USING (scan_id) GROUP BY 1"""),
     "layer_candidates": _tree("SELECT array_to_string(list_slice(string_split(module, '/'), 1, 2), '/') AS dirs, count(*) AS files FROM t WHERE module <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40"),
     "diagram_nodes": _tree("SELECT scan_id, CASE WHEN module = '' THEN 'root' WHEN regexp_matches(module, '^[0-9]') THEN 'n' || regexp_replace(module, '[^A-Za-z0-9]', '_', 'g') ELSE regexp_replace(module, '[^A-Za-z0-9]', '_', 'g') END AS ident, count(*) AS files, round(3 + 0.6 * sqrt(sum(loc)), 6) AS radius FROM t GROUP BY scan_id, module"),
-    "snapshot_totals": f"WITH {ROWS_SQL} SELECT scan_id, idx, count(*) AS file_count, sum(coalesce(loc, 0)) AS total_loc, sum(coalesce(len(depends_on), 0)) AS edge_count FROM r GROUP BY ALL",
+    "snapshot_totals": f"WITH {ROWS_SQL} SELECT scan_id, idx, count(*) AS file_count, CAST(sum(coalesce(loc, 0)) AS BIGINT) AS total_loc, CAST(sum(coalesce(len(depends_on), 0)) AS BIGINT) AS edge_count FROM r GROUP BY ALL",
     "compare_refs": f"""WITH {ROWS_SQL}, fin AS (SELECT scan_id, max(idx) AS idx FROM n GROUP BY 1), b AS (SELECT scan_id, path, coalesce(loc, 0) AS loc FROM r WHERE idx = 1), h AS (SELECT scan_id, path, coalesce(loc, 0) AS loc FROM r JOIN fin USING (scan_id, idx))
         SELECT * FROM (SELECT scan_id, path, CASE WHEN b.loc IS NULL THEN 'added' WHEN h.loc IS NULL THEN 'removed' WHEN h.loc > b.loc THEN 'grown' WHEN h.loc < b.loc THEN 'shrunk' END AS change, CAST(h.loc - b.loc AS BIGINT) AS delta FROM b FULL JOIN h USING (scan_id, path)) WHERE change IS NOT NULL""",
     "asof_snapshot": f"WITH {ROWS_SQL}, {CLEAN_SQL.replace('kept AS', 'kept0 AS').split('kept0 AS')[0].rstrip().rstrip(',')} SELECT c.scan_id, c.id, c.commit_time AS at, (SELECT max(idx) FROM n WHERE n.scan_id = c.scan_id AND n.snap_time <= c.commit_time) AS idx FROM clean c",
-    "skipped_reasons": "SELECT repo, reason.tag AS tag, count(*) AS files, sum(reason.bytes) AS bytes FROM skipped_files GROUP BY ALL",
+    "skipped_reasons": "SELECT repo, reason.tag AS tag, count(*) AS files, CAST(sum(reason.bytes) AS BIGINT) AS bytes FROM skipped_files GROUP BY ALL",
     "case_fold_match": f"""WITH s AS (SELECT scan_id, lower(regexp_replace({PLAIN.format('rel_path')}, '\\.[^./]*$', '')) AS key, min(file_id) AS source_id FROM source_files WHERE rel_path IS NOT NULL GROUP BY ALL)
         SELECT k.file_id, s.source_id FROM (SELECT file_id, scan_id, lower(regexp_replace({PLAIN.format('rel_path')}, '\\.[^./]*$', '')) AS key FROM skipped_files WHERE rel_path IS NOT NULL) k JOIN s USING (scan_id, key)""",
 }
