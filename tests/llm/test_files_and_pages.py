@@ -44,3 +44,14 @@ def test_residue(spark):
     out = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, DOCS)).collect()}
     assert out == {2: "slot", 5: "filler", 6: "filler", 7: "page", 8: "page", 9: "page", 11: "page", 16: "slot", 17: "page", 18: "page", 19: "slot"}
     assert residue.residue(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_residue_induces_slots(spark):
+    filled = [f"Contact {n} with questions about the lens." for n in "Anna Ben Carla Dora".split()] + [f"Name: {n} Meier" for n in "Anna Ben Carla Dora".split()] + [f"担当者は{n}です。" for n in ("北山", "中村", "小林", "石井")]
+    left = ["Contact ~name~ with questions about the lens.", "Contact TBD with questions about the lens.", "Contact ____ with questions about the lens.", "Name: ____", "担当者は____です。"]
+    left += ["Dear customer, your order has been shipped."] * 10
+    filled += [f"Dear {n}, your order has been shipped." for n in "Anna Ben Carla Dora Emil Fay Gus Hal Ida Jon Kim Lea".split()]
+    alone = ["Press ~ok~ in the old dialog.", "Rows: ____"]
+    rows = [(i, t, None, 0) for i, t in enumerate([*left, *filled, *alone])]
+    out = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {i: "slot" for i in range(len(left))}
