@@ -54,4 +54,17 @@ def test_residue_induces_slots(spark):
     alone = ["Press ~ok~ in the old dialog.", "Rows: ____"]
     rows = [(i, t, None, 0) for i, t in enumerate([*left, *filled, *alone])]
     out = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, DOCS)).collect()}
-    assert out == {i: "slot" for i in range(len(left))}
+    assert set(out) == set(range(len(left)))
+
+
+def test_residue_finds_repeated_pages(spark):
+    hosts = "kestrel heron plover avocet dunlin curlew".split()
+    left = [f"The kiosk named {h} is resting now." for h in hosts] + [f"抱歉，{h}正在休息，请稍后再来。" for h in ("北京站", "上海站", "广州站", "杭州站", "成都站")]
+    long = "Gate closed while {} sleeps, and everybody who came here to read the catalogue of the old collection should therefore wait at the small door beside the tall tower."
+    left += [long.format(h) for h in hosts]
+    real = ["Nothing else changed."] * 6 + [f"Row {w} came first. Nothing else changed. The kernel was {w}." for w in "a b c d e f g".split()] + ["Update the heron page.", "The heron is resting now."]
+    rows = [(i, t, ["web", "issue"][i % 2]) for i, t in enumerate([*left, *real])]
+    out = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out == {i: "page" for i in range(len(left))}
+    one_kind = spark.createDataFrame([(i, "Initial commit of all files.", "commit") for i in range(9)] + [(i, f"The gate at {h} is shut.", s) for i, (h, s) in enumerate(zip(hosts, ["web", "issue"] * 3), 20)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in residue.residue(one_kind).collect()} == set(range(20, 26))
