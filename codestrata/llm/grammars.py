@@ -10,7 +10,7 @@ ECMA = r"""
 # words that are names except in special places
 @Soft := 'async' | 'of' | 'get' | 'set' | 'from' | 'as' | 'static' | 'let' | 'type' | 'interface' | 'declare' | 'namespace' | 'module' | 'abstract'
   | 'readonly' | 'public' | 'private' | 'protected' | 'override' | 'keyof' | 'infer' | 'is' | 'asserts' | 'satisfies' | 'unique' | 'implements'
-  | 'global' | 'accessor' | 'await' | 'yield' | 'target' | 'meta' | 'out' ;
+  | 'global' | 'accessor' | 'await' | 'yield' | 'target' | 'meta' | 'out' | 'require' | 'assert' | 'using' ;
 @Id := NAME | @Soft ;
 @Word := @Id | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'enum' | 'export'
   | 'extends' | 'false' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'null' | 'return' | 'super' | 'switch'
@@ -121,7 +121,7 @@ PYTHON = r"""
 File = (NEWLINE | Stmt)+ ;
 Stmt = Simple (';' Simple)* ';'? NEWLINE | Compound ;
 Block = Simple (';' Simple)* ';'? NEWLINE | NEWLINE INDENT Stmt+ DEDENT ;
-Simple = StarExprs ( ('=' (StarExprs | Yield))+ | ':' Expr ('=' (StarExprs | Yield))? | @Aug (StarExprs | Yield) )? | Yield
+Simple = StarExprs | (Targets '=')+ (StarExprs | Yield) | Target ( ':' Expr ('=' (StarExprs | Yield))? | @Aug (StarExprs | Yield) ) | Yield
   | 'return' StarExprs? | 'raise' (Expr ('from' Expr)?)? | 'pass' | 'break' | 'continue' | 'del' StarExprs | 'assert' Expr (',' Expr)?
   | ('global' | 'nonlocal') @Id (',' @Id)* | 'import' Dotted ('as' @Id)? (',' Dotted ('as' @Id)?)*
   | 'from' ( ('.' | '...')* Dotted | ('.' | '...')+ ) 'import' ( '*' | ImportAs (',' ImportAs)* | '(' ImportAs (',' ImportAs)* ','? ')' )
@@ -131,15 +131,19 @@ Dotted = @Id ('.' @Id)* ;
 ImportAs = @Id ('as' @Id)? ;
 Compound = ('@' Named NEWLINE)* ( 'async'? 'def' @Id TypeParams? '(' ParamList? ')' ('->' Expr)? ':' Block | 'class' @Id TypeParams? Args? ':' Block )
   | 'if' Named ':' Block ('elif' Named ':' Block)* ('else' ':' Block)? | 'while' Named ':' Block ('else' ':' Block)?
-  | 'async'? 'for' StarExprs 'in' StarExprs ':' Block ('else' ':' Block)?
+  | 'async'? 'for' Targets 'in' StarExprs ':' Block ('else' ':' Block)?
   | 'try' ':' Block ( ('except' '*'? (Expr ('as' @Id)?)? ':' Block)+ ('else' ':' Block)? ('finally' ':' Block)? | 'finally' ':' Block )
   | 'async'? 'with' ( WithItem (',' WithItem)* | '(' WithItem (',' WithItem)* ','? ')' ) ':' Block
   | 'match' StarExprs ':' NEWLINE INDENT ('case' Patterns ('if' Named)? ':' Block)+ DEDENT ;
-WithItem = Expr ('as' Expr)? ;
+WithItem = Expr ('as' Target)? ;
 TypeParams = '[' TypeParam (',' TypeParam)* ','? ']' ;
 TypeParam = ('*' | '**')? @Id (':' Expr)? ('=' StarExpr)? ;
-ParamList = (Param | '/' | '*' | '*' @Id (':' StarExpr)? | '**' @Id (':' Expr)?) (',' (Param | '/' | '*' | '*' @Id (':' StarExpr)? | '**' @Id (':' Expr)?))* ','? ;
-Param = @Id (':' Expr)? ('=' Expr)? ;
+ParamList = ( ParamHead (',' ParamTail)? | ParamTail ) ','? ;
+ParamHead = Param (',' Param)* ( (',' '/' (',' Param)*)? (',' Default)* | (',' Default)+ ',' '/' (',' Default)* ) | Default (',' Default)* (',' '/' (',' Default)*)? ;
+ParamTail = '*' @Id (':' StarExpr)? (',' (Param | Default))* (',' ParamRest)? | '*' (',' (Param | Default))+ (',' ParamRest)? | ParamRest ;
+Param = @Id (':' Expr)? ;
+Default = @Id (':' Expr)? '=' Expr ;
+ParamRest = '**' @Id (':' Expr)? ;
 Patterns = ('*' @Id | Pattern) (',' ('*' @Id | Pattern))* ','? ;
 Pattern = PatternAtom ('|' PatternAtom)* ('as' @Id)? ;
 PatternAtom = '-'? NUM (('+' | '-') NUM)? | Strings | 'None' | 'True' | 'False' | Dotted ('(' (PatternArg (',' PatternArg)* ','?)? ')')? | '(' Patterns? ')' | '[' Patterns? ']'
@@ -153,17 +157,21 @@ Named = @Id ':=' Expr | Expr ;
 @Binary := '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '<<' | '>>' | '&' | '|' | '^' | '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' | 'is' 'not' | 'and' | 'or' ;
 @Operand := ('+' | '-' | '~' | 'not' | 'await')* ( @Id | @Const | Strings | '(' Inner? ')' | '[' Inner? ']' | '{' (Inner | Pairs)? '}' ) ( '.' @Id | Args | '[' Slices ']' )* ;
 Expr = @Operand (@Binary @Operand)* ('if' @Operand (@Binary @Operand)* 'else' Expr)? | 'lambda' ParamsBare? ':' Expr ;
-ParamsBare = (BareParam | '/' | '*' @Id? | '**' @Id) (',' (BareParam | '/' | '*' @Id? | '**' @Id))* ','? ;
-BareParam = @Id ('=' Expr)? ;
+ParamsBare = ( BareHead (',' BareTail)? | BareTail ) ','? ;
+BareHead = @Id (',' @Id)* ( (',' '/' (',' @Id)*)? (',' Keyword)* | (',' Keyword)+ ',' '/' (',' Keyword)* ) | Keyword (',' Keyword)* (',' '/' (',' Keyword)*)? ;
+BareTail = '*' @Id (',' (@Id | Keyword))* (',' '**' @Id)? | '*' (',' (@Id | Keyword))+ (',' '**' @Id)? | '**' @Id ;
+Keyword = @Id '=' Expr ;
 Inner = StarExpr (Comp+ | (',' StarExpr)* ','?) | Yield ;
 Comp = 'async'? 'for' Targets 'in' Or ('if' Or)* ;
 Or = @Operand (@Binary @Operand)* ('if' @Operand (@Binary @Operand)* 'else' Expr)? | @Id ':=' Expr | 'lambda' ParamsBare? ':' Expr ;
 Targets = '*'? Target (',' '*'? Target)* ','? ;
-Target = ( @Id | '(' Targets? ')' | '[' Targets? ']' | Strings ) ( '.' @Id | Args | '[' Slices ']' )* ;
+Target = @Id | '(' Targets? ')' | '[' Targets? ']'
+  | ( @Id | @Const | Strings | '(' Inner? ')' | '[' Inner? ']' | '{' (Inner | Pairs)? '}' ) ( '.' @Id | Args | '[' Slices ']' )* ( '.' @Id | '[' Slices ']' ) ;
 Pairs = Pair (Comp+ | (',' Pair)* ','?) ;
 Pair = Expr ':' Expr | '**' Expr ;
-Args = '(' (Arg Comp* (',' Arg)* ','?)? ')' ;
-Arg = @Id '=' Expr | ('*' | '**') Expr | Named ;
+Args = '(' ( ( Arg Comp* (',' Arg)* (',' NamedArgs)? | NamedArgs ) ','? )? ')' ;
+Arg = '*' Expr | Named ;
+NamedArgs = Keyword (',' (Keyword | '*' Expr))* (',' '**' Expr (',' (Keyword | '**' Expr))*)? | '**' Expr (',' (Keyword | '**' Expr))* ;
 Slices = Slice (',' Slice)* ','? ;
 Slice = '*' Expr | Named | Expr? ':' Expr? (':' Expr?)? ;
 Strings = (STR | FString)+ ;

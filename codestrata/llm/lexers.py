@@ -33,7 +33,7 @@ _ECMA = re.compile(
 _REGEX = re.compile(r"/(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(`|\$\{)", re.S)
 _TAG = re.compile(r"""(?:\s|//[^\n]*|/\*.*?\*/)*(?:([A-Za-z_$][\w$\-]*)|("[^"]*"|'[^']*')|([<>/={}.:]))""", re.S)
-_BEFORE_DIVISION = frozenset(["NAME", "NUM", "STR", "REGEX", "TPL", "TPL_TAIL", "PRIVATE", ")", "]", "this", "super", "null", "true", "false", "++", "--", *TS_ONLY, *"of get set from as static async let target meta accessor".split()])
+_BEFORE_DIVISION = frozenset(["NAME", "NUM", "STR", "REGEX", "TPL", "TPL_TAIL", "PRIVATE", ")", "]", "this", "super", "null", "true", "false", "++", "--", *TS_ONLY, *"of get set from as static async let target meta accessor assert using".split()])
 _CONDITION = frozenset(["if", "while", "for", "with"])
 _BLOCK_BEFORE = frozenset([")", ";", "{", "}", "=>", "else", "do", "try", "finally", ":", ""])
 

@@ -99,3 +99,17 @@ def test_operator(spark):
     rates = {(r.repo, r.language): (r.files, r.broken, r.rate) for r in syntax.broken_rates(df).collect()}
     assert rates["r", "Python"] == (3, 2, 2 / 3) and rates["r", None] == (1, 1, 1.0) and rates[None, "JavaScript"] == (1, 0, 0.0)
     assert syntax.broken_files(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_of_imports_are_names_elsewhere():
+    for language in ("js", "ts", "tsx", "jsx"):
+        for text in ("const x = require('y');\nmodule.exports = { require, assert: x.assert };", "assert(z); let using = 1; using = require / 2 / using; x = assert / 2 / using / 3", "function f(assert, using) { return require.resolve(assert) }"):
+            assert syntax.parses(language, text), (language, text)
+    assert syntax.parses("js", "using x = f()") and syntax.parses("ts", "import x = require('y')")
+
+
+def test_python_targets_and_order_of_arguments():
+    for text in ("1 = x\n", "f() = 1\n", "a + b = c\n", "x, y += 1\n", "for 1 in x: pass\n", "f(a=1, b)\n", "f(**a, *b)\n", "def f(a=1, b): pass\n", "def f(a, *): pass\n", "lambda a=1, b: 0\n"):
+        assert not syntax.parses("py", text), text
+    for text in ("a.b, *c[1] = (d, [e]) = x\n", "(x) += 1\n", "f(a)[0].b = 'c'.d = 1\n", "f(a=1, *b, **c, d=2)\n", "f(*a, b, c=1)\n", "def f(a, b=1, /, c=2, *d, e, g=1, **k): pass\n", "lambda a, /, b=1, *, c, **k: 0\n", "with a as (b, c[0]): pass\n", "for i, *j in k: pass\n", "f(x for x in y)\n", "x.y: int = 1\n"):
+        assert syntax.parses("py", text), text
