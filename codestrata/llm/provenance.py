@@ -96,8 +96,7 @@ def traits(path: str, raw: bytes, owner: str) -> tuple[bool, bool, bool, bool, s
     code.append(text[end:])
     body = "".join("".join(code).split())
     generated = any(GENERATED.search(line) for _, c in comments for line in c.lower().split("\n"))
-    head = "\n".join(c for at, c in comments if at < 1500).lower()
-    vendored = any(VENDORED.search(line) for line in head.split("\n"))
+    vendored = any(VENDORED.search(line) for _, c in comments for line in c.lower().split("\n"))
     lines = text.split("\n")
     long = [line for line in lines if len(line) > 250]
     wide = sum(map(len, long))

@@ -24,6 +24,12 @@ def test_reasons(spark):
     assert provenance.machine_files(spark.createDataFrame([], SRC), spark.createDataFrame([], SKIP)).count() == 0
 
 
+def test_marks_of_copies_count_anywhere():
+    late = "".join(f"# step {i} of the walk\nx{i} = {i}\n" for i in range(200)) + "# Vendored from lens 1.2\n" + HAND
+    assert provenance.traits("a.py", late.encode(), "o")[1]
+    assert not provenance.traits("a.py", late.replace("Vendored from", "A kind of").encode(), "o")[1]
+
+
 def test_mined_patterns(spark):
     looked = [(f"r{i % 5}", f"gen_out/f{i}.ts", i != 3) for i in range(20)] + [(f"r{i % 5}", f"src/g{i}.ts", i < 2) for i in range(20)]
     df = spark.createDataFrame(looked, "repo string, path string, marked boolean")
