@@ -108,6 +108,10 @@ def traits(path: str, raw: bytes, owner: str) -> tuple[bool, bool, bool, bool, s
     return generated, vendored, minified, data, xxhash.xxh128_hexdigest(body)
 
 
+#: The hash of a file that holds no code; such files are no copies of each other.
+NO_CODE = xxhash.xxh128_hexdigest("")
+
+
 @frame_stage
 def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
@@ -152,6 +156,13 @@ def declared_marks(files: DataFrame) -> DataFrame:
     return hits.groupBy("file_id", "kind").agg(F.max_by("off", F.struct("depth", "line_no")).alias("off"))
 
 
+def governed_files(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """``file_id, governed`` of the files of ``paths`` below a directory whose attribute file (among ``files``) says what is vendored or generated."""
+    dirs = attribute_rules(files).select("repo", "scan_id", "dir").distinct()
+    below = paths.select("file_id", "repo", "scan_id", F.explode(path_prefixes(F.col("path"))).alias("dir"))
+    return below.join(dirs, ["repo", "scan_id", "dir"], "left_semi").select("file_id").distinct().withColumn("governed", F.lit(True))
+
+
 def convention_mark(path: Column) -> Column:
     """The mark that the conventions give a path, the last matching line deciding; null for none."""
     lines = [line.split() for line in CONVENTIONS.split("\n") if line.strip()]
@@ -188,9 +199,9 @@ def machine_files(source_files: DataFrame, skipped_files: DataFrame) -> DataFram
     """``file_id, reason`` of files not written by hand: generated, vendored, minified or data.
 
     In this order: an attribute file's mark for the path decides, either way; then the conventions, which stand for
-    attribute files in repositories that have none; then path patterns mined from the corpus, whose files elsewhere are
-    nearly all marked; then content: comments of tools and copiers, the shape of minified code, and code that is all
-    literals. Code whose text without comments equals that of a vendored file is a copy of it. Skipped files are judged
+    attribute files where none governs the path; then content: comments of tools and copiers, the shape of minified code, and code that is all
+    literals; then, where no attribute file governs, path patterns mined from the corpus, whose files are nearly all
+    declared or marked. An attribute file with such marks governs what is below its directory. Code whose text without comments equals that of a vendored file is a copy of it. Skipped files are judged
     by path and reason; too large and binary ones are data. Null content leaves the path; null paths and ids give
     nothing; repeated rows count once; empty tables give no rows; content of any length is read whole.
     """
@@ -201,16 +212,19 @@ def machine_files(source_files: DataFrame, skipped_files: DataFrame) -> DataFram
     looked = spread(seen).mapInPandas(_look, f"file_id {kind}, repo string, path string, generated boolean, vendored boolean, minified boolean, data boolean, body string")
     looked = stage(looked.withColumn("convention", convention_mark(F.col("path"))))
     by_content = F.when(F.col("generated"), F.lit("generated")).when(F.col("vendored"), F.lit("vendored")).when(F.col("minified"), F.lit("minified")).when(F.col("data"), F.lit("data"))
-    marked = looked.withColumn("by_content", by_content).withColumn("marked", F.col("by_content").isNotNull() | F.col("convention").isNotNull())
-    originals = marked.where("vendored or convention = 'vendored'").select("body").distinct().withColumn("copied", F.lit(True))
-    known = mined_shapes(marked)
     paths = walked.select("file_id", "scan_id", "repo", "path", F.lit(None).cast("string").alias("tag")).unionByName(skipped)
+    declared = stage(declared_marks(walked).groupBy("file_id").agg(F.max(F.when(~F.col("off"), F.col("kind"))).alias("declared"), F.bool_and("off").alias("kept")))
+    governed = stage(governed_files(walked, paths))
+    known_marks = looked.join(declared, "file_id", "left").join(governed, "file_id", "left").withColumn("convention", F.when(F.col("governed").isNull(), F.col("convention")))
+    own = F.coalesce(F.col("declared").isNotNull() | F.col("by_content").isNotNull() | F.col("convention").isNotNull(), F.lit(False)) & ~(F.col("declared").isNull() & F.coalesce("kept", F.lit(False)))
+    marked = known_marks.withColumn("by_content", by_content).withColumn("marked", own)
+    originals = marked.where("vendored or convention = 'vendored' or declared = 'vendored'").where(F.col("body") != NO_CODE).select("body").distinct().withColumn("copied", F.lit(True))
+    known = mined_shapes(marked)
     mined = paths.select("file_id", F.explode(path_shapes(F.col("path"))).alias("shape")).join(known, "shape", "left_semi").select("file_id").distinct().withColumn("mined", F.lit(True))
-    declared = declared_marks(walked).groupBy("file_id").agg(F.max(F.when(~F.col("off"), F.col("kind"))).alias("declared"), F.bool_and("off").alias("kept"))
     content = marked.join(originals, "body", "left").select("file_id", "by_content", "copied")
-    joined = paths.join(declared, "file_id", "left").join(content, "file_id", "left").join(mined, "file_id", "left")
+    joined = paths.join(declared, "file_id", "left").join(governed, "file_id", "left").join(content, "file_id", "left").join(mined, "file_id", "left")
     reason = F.coalesce(
-        F.col("declared"), F.when(F.col("kept"), F.lit("hand")), F.when(F.col("tag").isin("TooLarge", "Binary"), F.lit("data")), convention_mark(F.col("path")),
-        F.col("by_content"), F.when(F.col("copied"), F.lit("vendored")), F.when(F.col("mined"), F.lit("generated")))
+        F.col("declared"), F.when(F.col("kept"), F.lit("hand")), F.when(F.col("tag").isin("TooLarge", "Binary"), F.lit("data")), F.when(F.col("governed").isNull(), convention_mark(F.col("path"))),
+        F.col("by_content"), F.when(F.col("copied"), F.lit("vendored")), F.when(F.col("mined") & F.col("governed").isNull(), F.lit("generated")))
     told = joined.withColumn("reason", reason).where("reason is not null and reason <> 'hand'")
     return told.groupBy("file_id").agg(F.min("reason").alias("reason"))

@@ -30,6 +30,15 @@ def test_marks_of_copies_count_anywhere():
     assert not provenance.traits("a.py", late.replace("Vendored from", "A kind of").encode(), "o")[1]
 
 
+def test_patterns_are_mined_from_declared_repositories(spark):
+    files = []
+    for r in range(4):
+        files += [src(100 * r, ".gitattributes", "gen_out/** linguist-generated\n", f"d/{r}"), src(100 * r + 90, "node_modules/z.py", HAND, f"d/{r}")] + [src(100 * r + i, f"gen_out/f{i}.py", HAND + f"N = {r}{i}\n", f"d/{r}") for i in range(1, 5)]
+    files += [src(900, "gen_out/x.py", HAND + "A = 1\n", "u/u"), src(901, "src/x.py", HAND + "B = 1\n", "u/u"), src(902, "third_party/e.py", "# a\n", "u/u"), src(903, "src/e.py", "# b\n", "u/u")]
+    out = {r.file_id for r in provenance.machine_files(spark.createDataFrame(files, SRC), spark.createDataFrame([], SKIP)).collect()}
+    assert out == {100 * r + i for r in range(4) for i in range(1, 5)} | {900, 902}
+
+
 def test_mined_patterns(spark):
     looked = [(f"r{i % 5}", f"gen_out/f{i}.ts", i != 3) for i in range(20)] + [(f"r{i % 5}", f"src/g{i}.ts", i < 2) for i in range(20)]
     df = spark.createDataFrame(looked, "repo string, path string, marked boolean")
