@@ -14,16 +14,16 @@ from codestrata.session import cut, frame_stage, spread, stage
 TASK_EDGES = 200_000
 
 
-def components_of(src: Iterable[str], dst: Iterable[str]) -> list[list[str]]:
+def components_of(src: Iterable, dst: Iterable) -> list[list]:
     """Components of two or more nodes of one small graph, by an iterative depth-first search with low links."""
-    out: dict[str, list[str]] = {}
+    out: dict = {}
     for a, b in zip(src, dst):
         out.setdefault(a, []).append(b)
-    found: list[list[str]] = []
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    open_nodes: list[str] = []
-    is_open: set[str] = set()
+    found: list[list] = []
+    index: dict = {}
+    low: dict = {}
+    open_nodes: list = []
+    is_open: set = set()
     for root in out:
         if root in index:
             continue
@@ -129,12 +129,12 @@ def large_components(edges: DataFrame) -> DataFrame:
 def cycle_groups(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """Members of every component of two or more nodes.
 
-    In: ``graph`` (any key), ``src``, ``dst``; nulls and self edges are ignored, repeats count once.
+    In: ``graph`` (any key), ``src``, ``dst`` (both of one type, text or whole numbers); nulls and self edges are ignored, repeats count once.
     Out: ``graph, node, component`` (least member) ``, size``. Empty input gives no rows.
     Graphs with more than ``task_edges`` edges are never gathered into one task.
     """
-    kind = edges.schema["graph"].dataType.simpleString()
-    schema = f"graph {kind}, node string, component string, size long"
+    kind, node = (edges.schema[c].dataType.simpleString() for c in ("graph", "src"))
+    schema = f"graph {kind}, node {node}, component {node}, size long"
     clean = stage(edges.select("graph", "src", "dst").where("src <> dst").distinct())
     counts = clean.groupBy("graph").agg(F.count("*").alias("n"))
     big = cut(counts.where(F.col("n") > task_edges).select("graph"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 
@@ -39,6 +42,37 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Like :func:`stage`, in buckets of ``keys``, by which ``df`` must be partitioned already, into :func:`buckets`.
+
+    Each task writes one file, in the order of its rows. Joins, windows and aggregations whose keys hold these read the
+    table without a shuffle (joins with more keys: inside :func:`partitioned_by_some`).
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets(spark), *keys).option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}")
+    writer.option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+@contextlib.contextmanager
+def partitioned_by_some(spark: SparkSession) -> Iterator[None]:
+    """Here a join may use sides partitioned by some of its keys; for keys that are known to spread well. Only around what runs at once."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def buckets(spark: SparkSession) -> int:
+    """Tasks of a shuffle whose result is kept in buckets: what the session asks for, four for each core at least."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *keys: str, factor: int = 4, shuffled: bool = False) -> DataFrame:
     """Give CPU-heavy Python stages enough tasks where the bytes alone would make few.
 
