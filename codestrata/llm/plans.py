@@ -27,8 +27,14 @@ def p2_rates(spark, d):
 
 
 def p3_found(spark, d):
-    pairs = cooccurrence.coupled_paths(table(spark, d, "commits"))
-    return pairs.where("together >= 5 and together * n >= 3 * count_a * count_b").select("scan_id", "a", "b")
+    """The rule that the problem states needs the exact counts only; :func:`p3_surprising` judges by the fitted null."""
+    pairs = cooccurrence.frequent_pairs(table(spark, d, "commits"), min_together=5)
+    return pairs.where("together * n >= 3 * count_a * count_b").select("scan_id", "a", "b")
+
+
+def p3_surprising(spark, d):
+    """Pairs whose count the null does not explain, at a false discovery rate of 1 in 100."""
+    return cooccurrence.coupled_paths(table(spark, d, "commits")).where("q_value <= 0.01")
 
 
 def p3_pairs(spark, d):
@@ -64,7 +70,7 @@ def p8_reasons(spark, d):
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_reasons": p5_reasons, "p8_found": p8_found, "p8_reasons": p8_reasons, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_counts": p3_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_reasons": p5_reasons, "p8_found": p8_found, "p8_reasons": p8_reasons, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_surprising": p3_surprising, "p3_counts": p3_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 PLAIN = r"regexp_replace(regexp_replace(replace(x, '\', '/'), '/+', '/', 'g'), '^(\./)+', '')"

@@ -85,3 +85,17 @@ def test_entities(spark):
     pairs = {(r.name_a, r.name_b) for r in names.author_names(df).collect()}
     assert ("S Veltüvard", "Susan Veltüvard") in pairs and all(a < b for a, b in pairs)
     assert names.author_names(spark.createDataFrame([], COMMITS)).count() == 0
+
+
+def test_tail_by_terms_and_by_transform_agree():
+    rng = np.random.default_rng(1)
+    q, m = rng.random((200, 6)) * np.array([1e-6, 1e-3, 0.01, 0.05, 0.2, 0.6]), rng.integers(0, 200, (200, 6)).astype(float)
+    for t in (rng.integers(1, 6, 200), rng.integers(1, 200, 200), np.full(200, 150)):
+        t = np.minimum(t, m.sum(1).astype(int)).clip(1)
+        assert np.allclose(co.tail(q, m, t), co._by_transform(q, m, t), rtol=1e-7, atol=1e-290)
+
+
+def test_tail_of_large_counts_needs_no_long_transform():
+    # a binomial of a million trials at two deviations
+    got = co._by_transform(np.array([[0.5]]), np.array([[1e6]]), np.array([501_000]))[0]
+    assert abs(got - 0.022796) < 2e-4
