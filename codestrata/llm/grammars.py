@@ -1,6 +1,8 @@
 """Grammars of the supported languages, written for :mod:`codestrata.llm.gll`.
 
-They recognise syntax only: expressions are flat lists of operands and operators, as precedence decides no acceptance.
+They recognise syntax only. Expressions are flat lists of operands and operators where precedence decides no acceptance;
+what it does decide (targets of assignments, comparisons that do not chain, ``??`` beside ``||``) is told apart. Small
+rules are macros, which spares a node of the stack graph for each use.
 """
 
 from __future__ import annotations
@@ -17,12 +19,11 @@ ECMA = r"""
   | 'this' | 'throw' | 'true' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with' ;
 @Prefix := '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | 'new' ?ts{ | TypeAssertion } ;
 @Assignment := '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '&=' | '^=' | '|=' | '&&=' | '||=' | '??=' | '>' '>='  | '>' '>' '>=' ;
-@Binary := '+' | '-' | '*' | '/' | '%' | '**' | '<<' | '<' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '&' | '|' | '^' | '&&' | '||' | '??'
-  | 'instanceof' | 'in' | '>' | '>' '>' | '>' '>' '>' | @Assignment ;
-@Primary := @Id ('=>' ArrowBody)? | 'async' @Id '=>' ArrowBody | NUM | STR | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | PRIVATE 'in' Operand | TPL | Template | ArrayLit | ObjectLit | FunctionExpr | ClassExpr
-  | '(' Expr ')' | Arrow | 'new' '.' 'target' | 'import' '(' Assign (',' Assign)? ','? ')' | 'import' '.' 'meta' ?jsx{ | Markup } ;
-@Postfix := '.' (@Word | PRIVATE) | '?.' (@Word | PRIVATE) | '?.'? '[' Expr ']' | '?.'? Args | TPL | Template | '++' | '--'
-  ?ts{ | '!' | '?.'? TypeArgs Args | TypeArgs (TPL | Template) | ('as' | 'satisfies') Type | 'as' 'const' } ;
+@Binary := '+' | '-' | '*' | '/' | '%' | '**' | '<<' | '<' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '&' | '|' | '^' | 'instanceof' | 'in' | '>' | '>' '>' | '>' '>' '>' ;
+@Primary := @Id | NUM | STR | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | PRIVATE 'in' Operand | TPL | Template | ArrayLit | ObjectLit | FunctionExpr | ClassExpr
+  | '(' Expr ')' | 'new' '.' 'target' | 'import' '(' Assign (',' Assign)? ','? ')' | 'import' '.' 'meta' ?jsx{ | Markup } ;
+@Postfix := '.' (@Word | PRIVATE) | '?.' (@Word | PRIVATE) | '?.'? '[' Expr ']' | '?.'? @Args | TPL | Template | '++' | '--'
+  ?ts{ | '!' | '?.'? TypeArgs @Args | TypeArgs (TPL | Template) | ('as' | 'satisfies') Type | 'as' 'const' } ;
 @Operand := @Prefix* @Primary (@Postfix)* ;
 
 Module = ModuleItem+ ;
@@ -43,44 +44,48 @@ Export = 'export' ( '*' ('as' (@Word | STR))? 'from' STR (('with' | 'assert') Ob
 Block = '{' Stmt* '}' ;
 Stmt = Block | ';' | @Declaration | Expr-('{' 'function' 'class') SEMI | @Id ':' Stmt
   | 'if' '(' Expr ')' Stmt ('else' Stmt)?
-  | 'for' 'await'? '(' ( ForInit? ';' Expr? ';' Expr? | ForHead ('of' | 'in') Expr ) ')' Stmt
+  | 'for' 'await'? '(' ( ForInit? ';' Expr? ';' Expr? | ForHead 'of' Assign | ForHead 'in' Expr ) ')' Stmt
   | ('while' | 'with') '(' Expr ')' Stmt | 'do' Stmt 'while' '(' Expr ')' (';' | )
   | ('break' | 'continue') @Id? SEMI | 'return' Expr? SEMI | 'throw' Expr SEMI | 'debugger' SEMI
   | 'switch' '(' Expr ')' '{' ('case' Expr ':' Stmt* | 'default' ':' Stmt*)* '}'
   | 'try' Block ( 'catch' ('(' Target ?ts{ (':' Type)? } ')')? Block ('finally' Block)? | 'finally' Block ) ;
-ForInit = ('var' | 'let' | 'const') Declarator (',' Declarator)* | Expr ;
+ForInit = ('var' | 'let') @Declarator (',' @Declarator)* | 'const' @Constant (',' @Constant)* | Expr ;
 ForHead = ('var' | 'let' | 'const' | 'await'? 'using') Target | Operand ;
 Operand = @Operand ;
-VarStmt = ('var' | 'let' | 'const' | 'await'? 'using') Declarator (',' Declarator)* SEMI ;
-Declarator = Target ?ts{ '!'? (':' Type)? } ('=' Assign)? ;
+VarStmt = ('var' | 'let' | 'await'? 'using' ?ts{ | 'const' }) @Declarator (',' @Declarator)* SEMI | 'const' @Constant (',' @Constant)* SEMI ;
+@Constant := Target ?ts{ '!'? (':' Type)? } '=' Assign ;
+@Declarator := Target ?ts{ '!'? (':' Type)? } ('=' Assign)? ;
 Target = @Id | '{' (TargetProp (',' TargetProp)* ','?)? '}' | '[' ','* (('...'? Target ('=' Assign)?) (','+ '...'? Target ('=' Assign)?)* ','*)? ']' ;
 TargetProp = '...' Target | @Id ('=' Assign)? | (@Word | STR | NUM | '[' Assign ']') ':' Target ('=' Assign)? ;
 
-FunctionDecl = 'async'? 'function' '*'? @Id ?ts{ TypeParams? } Params ?ts{ ReturnType? } ( Block ?ts{ | SEMI } ) ;
-FunctionExpr = 'async'? 'function' '*'? @Id? ?ts{ TypeParams? } Params ?ts{ ReturnType? } ( Block ?ts{ | SEMI } ) ;
-Params = '(' (Param (',' Param)* ','?)? ')' ;
+FunctionDecl = 'async'? 'function' '*'? @Id ?ts{ TypeParams? } @Params ?ts{ ReturnType? } ( Block ?ts{ | SEMI } ) ;
+FunctionExpr = 'async'? 'function' '*'? @Id? ?ts{ TypeParams? } @Params ?ts{ ReturnType? } ( Block ?ts{ | SEMI } ) ;
+@Params := '(' (Param (',' Param)* ','?)? ')' ;
 Param = Decorator* ?ts{ ('public' | 'private' | 'protected' | 'readonly' | 'override')* } '...'? (Target ?ts{ | 'this' }) ?ts{ '?'? (':' Type)? } ('=' Assign)? ;
-Arrow = 'async'? ?ts{ TypeParams? } Params ?ts{ ReturnType? } '=>' ArrowBody ;
+Arrow = 'async'? ?ts{ TypeParams? } @Params ?ts{ ReturnType? } '=>' ArrowBody ;
 ArrowBody = Block | Assign-('{') ;
 ClassDecl = Decorator* ?ts{ 'abstract'? } 'class' @Id ClassRest ;
 ClassExpr = Decorator* 'class' @Id? ClassRest ;
 ClassRest = ?ts{ TypeParams? } ('extends' Heritage)? ?ts{ ('implements' Type (',' Type)*)? } '{' ClassMember* '}' ;
-Heritage = @Primary ('.' (@Word | PRIVATE) | '[' Expr ']' | Args ?ts{ | TypeArgs })* ;
+Heritage = @Primary ('.' (@Word | PRIVATE) | '[' Expr ']' | @Args ?ts{ | TypeArgs })* ;
 @PropName := @Word | STR | NUM | PRIVATE | '[' Assign ']' ;
 ClassMember = ';' | 'static' Block
   | Decorator* ( 'static' | 'async' | 'get' | 'set' | 'accessor' | '*' ?ts{ | 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare' } )* @PropName
-    ( ?ts{ '?'? TypeParams? } Params ?ts{ ReturnType? } ( Block ?ts{ | SEMI } ) | ?ts{ ('?' | '!')? (':' Type)? } ('=' Assign)? SEMI )
+    ( ?ts{ '?'? TypeParams? } @Params ?ts{ ReturnType? } ( Block ?ts{ | SEMI } ) | ?ts{ ('?' | '!')? (':' Type)? } ('=' Assign)? SEMI )
   ?ts{ | ('static' | 'readonly' | 'public' | 'private' | 'protected')* '[' @Id ':' Type ']' (':' Type)? SEMI } ;
-Decorator = '@' ( @Id ('.' (@Word | PRIVATE))* Args? | '(' Expr ')' ) ;
+Decorator = '@' ( @Id ('.' (@Word | PRIVATE))* @Args? | '(' Expr ')' ) ;
 
 Expr = Assign (',' Assign)* ;
-Assign = 'yield' ('*'? Assign)? | @Operand ( @Binary @Operand | '?' Assign ':' @Operand )* ;
-Args = '(' (Arg (',' Arg)* ','?)? ')' ;
-Arg = '...'? Assign ;
-ArrayLit = '[' ','* (Arg (','+ Arg)* ','*)? ']' ;
-ObjectLit = '{' (Prop (',' Prop)* ','?)? '}' ;
-Prop = '...' Assign | @Id '=' Assign | @Id | (@Word | STR | NUM | '[' Assign ']') ':' Assign
-  | ('async' | 'get' | 'set' | '*')* @PropName ?ts{ TypeParams? } Params ?ts{ ReturnType? } Block ;
+# arrow functions and assignments are no operands; only names, members and patterns can be assigned to; ?? does not mix with && and ||
+@Chain := @Operand (@Binary @Operand)* ( (('&&' | '||') @Operand (@Binary @Operand)*)* | ('??' @Operand (@Binary @Operand)*)* ) ;
+@Assigned := @Id | ArrayLit | ObjectLit | '(' Expr ')' | 'new'* @Primary (@Postfix)* ( '.' (@Word | PRIVATE) | '[' Expr ']' ?ts{ | '!' } ) ;
+Assign = 'yield' ('*'? Assign)? | @Id '=>' ArrowBody | 'async' @Id '=>' ArrowBody | Arrow | @Chain ('?' Assign ':' Assign)? | @Assigned @Assignment Assign ;
+@Args := '(' (@Arg (',' @Arg)* ','?)? ')' ;
+@Arg := '...'? Assign ;
+ArrayLit = '[' ','* (@Arg (','+ @Arg)* ','*)? ']' ;
+ObjectLit = '{' (@Prop (',' @Prop)* ','?)? '}' ;
+@Prop := '...' Assign | @Id '=' Assign | @Id | (@Word | STR | NUM | '[' Assign ']') ':' Assign
+  | ('async' | 'get' | 'set' | '*')* @PropName ?ts{ TypeParams? } @Params ?ts{ ReturnType? } Block ;
 Template = TPL_HEAD Expr (TPL_MID Expr)* TPL_TAIL ;
 
 ?jsx{
@@ -99,15 +104,15 @@ TypeDecl = Interface | 'type' @Id TypeParams? '=' Type SEMI | 'const'? 'enum' @I
 Interface = 'interface' @Id TypeParams? ('extends' Type (',' Type)*)? TypeBody ;
 EnumItem = (@Word | STR | '[' Expr ']') ('=' Assign)? ;
 TypeBody = '{' (TypeMember MSEP)* '}' ;
-TypeMember = 'new'? TypeParams? Params ReturnType? | ('readonly' | '+' 'readonly' | '-' 'readonly')? '[' @Id (':' Type | 'in' Type ('as' Type)?) ']' ('?' | '-' '?' | '+' '?')? (':' Type)?
-  | ('readonly' | 'get' | 'set')* @PropName '?'? ( (':' Type)? | TypeParams? Params ReturnType? ) ;
+TypeMember = 'new'? TypeParams? @Params ReturnType? | ('readonly' | '+' 'readonly' | '-' 'readonly')? '[' @Id (':' Type | 'in' Type ('as' Type)?) ']' ('?' | '-' '?' | '+' '?')? (':' Type)?
+  | ('readonly' | 'get' | 'set')* @PropName '?'? ( (':' Type)? | TypeParams? @Params ReturnType? ) ;
 TypeParams = '<' TypeParam (',' TypeParam)* ','? '>' ;
 TypeParam = ('const' | 'in' | 'out')* @Id ('extends' Type)? ('=' Type)? ;
 TypeArgs = '<' Type (',' Type)* ','? '>' ;
 ReturnType = ':' ( Type | 'asserts' (@Id | 'this') ('is' Type)? | (@Id | 'this') 'is' Type ) ;
-Type = TypeUnion ('extends' TypeUnion '?' Type ':' Type)? | 'abstract'? 'new'? TypeParams? Params '=>' ( Type | 'asserts'? (@Id | 'this') 'is' Type | 'asserts' (@Id | 'this') ) ;
-TypeUnion = ('|' | '&')? TypePart (('|' | '&') TypePart)* ;
-TypePart = ('keyof' | 'unique' | 'readonly' | 'infer')* TypeAtom ('[' Type? ']')* ;
+Type = @TypeUnion ('extends' @TypeUnion '?' Type ':' Type)? | 'abstract'? 'new'? TypeParams? @Params '=>' ( Type | 'asserts'? (@Id | 'this') 'is' Type | 'asserts' (@Id | 'this') ) ;
+@TypeUnion := ('|' | '&')? @TypePart (('|' | '&') @TypePart)* ;
+@TypePart := ('keyof' | 'unique' | 'readonly' | 'infer')* TypeAtom ('[' Type? ']')* ;
 TypeAtom = @Id ('.' @Word)* TypeArgs? | 'this' | 'void' | 'null' | 'true' | 'false' | '-'? NUM | STR | TPL | TPL_HEAD Type (TPL_MID Type)* TPL_TAIL
   | '(' Type ')' | TypeBody | '[' (TupleItem (',' TupleItem)* ','?)? ']' | 'typeof' ('import' '(' STR ')' | @Id | 'this') ('.' @Word)* TypeArgs?
   | 'import' '(' STR ')' ('.' @Word)* TypeArgs? ;
@@ -121,62 +126,66 @@ PYTHON = r"""
 File = (NEWLINE | Stmt)+ ;
 Stmt = Simple (';' Simple)* ';'? NEWLINE | Compound ;
 Block = Simple (';' Simple)* ';'? NEWLINE | NEWLINE INDENT Stmt+ DEDENT ;
-Simple = StarExprs | (Targets '=')+ (StarExprs | Yield) | Target ( ':' Expr ('=' (StarExprs | Yield))? | @Aug (StarExprs | Yield) ) | Yield
-  | 'return' StarExprs? | 'raise' (Expr ('from' Expr)?)? | 'pass' | 'break' | 'continue' | 'del' StarExprs | 'assert' Expr (',' Expr)?
+Simple = @StarExprs | (Targets '=')+ (@StarExprs | Yield) | Single ( ':' Expr ('=' (@StarExprs | Yield))? | @Aug (@StarExprs | Yield) ) | Yield
+  | 'return' @StarExprs? | 'raise' (Expr ('from' Expr)?)? | 'pass' | 'break' | 'continue' | 'del' Deleted (',' Deleted)* ','? | 'assert' Expr (',' Expr)?
   | ('global' | 'nonlocal') @Id (',' @Id)* | 'import' Dotted ('as' @Id)? (',' Dotted ('as' @Id)?)*
   | 'from' ( ('.' | '...')* Dotted | ('.' | '...')+ ) 'import' ( '*' | ImportAs (',' ImportAs)* | '(' ImportAs (',' ImportAs)* ','? ')' )
   | 'type' @Id TypeParams? '=' Expr ;
 @Aug := '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**=' ;
 Dotted = @Id ('.' @Id)* ;
 ImportAs = @Id ('as' @Id)? ;
-Compound = ('@' Named NEWLINE)* ( 'async'? 'def' @Id TypeParams? '(' ParamList? ')' ('->' Expr)? ':' Block | 'class' @Id TypeParams? Args? ':' Block )
-  | 'if' Named ':' Block ('elif' Named ':' Block)* ('else' ':' Block)? | 'while' Named ':' Block ('else' ':' Block)?
-  | 'async'? 'for' Targets 'in' StarExprs ':' Block ('else' ':' Block)?
+Compound = ('@' @Named NEWLINE)* ( 'async'? 'def' @Id TypeParams? '(' ParamList? ')' ('->' Expr)? ':' Block | 'class' @Id TypeParams? ('(' @Given? ')')? ':' Block )
+  | 'if' @Named ':' Block ('elif' @Named ':' Block)* ('else' ':' Block)? | 'while' @Named ':' Block ('else' ':' Block)?
+  | 'async'? 'for' Targets 'in' @StarExprs ':' Block ('else' ':' Block)?
   | 'try' ':' Block ( ('except' '*'? (Expr ('as' @Id)?)? ':' Block)+ ('else' ':' Block)? ('finally' ':' Block)? | 'finally' ':' Block )
   | 'async'? 'with' ( WithItem (',' WithItem)* | '(' WithItem (',' WithItem)* ','? ')' ) ':' Block
-  | 'match' StarExprs ':' NEWLINE INDENT ('case' Patterns ('if' Named)? ':' Block)+ DEDENT ;
+  | 'match' @StarNamed (',' @StarNamed)* ','? ':' NEWLINE INDENT ('case' Patterns ('if' @Named)? ':' Block)+ DEDENT ;
 WithItem = Expr ('as' Target)? ;
 TypeParams = '[' TypeParam (',' TypeParam)* ','? ']' ;
-TypeParam = ('*' | '**')? @Id (':' Expr)? ('=' StarExpr)? ;
+TypeParam = ('*' | '**')? @Id (':' Expr)? ('=' @StarExpr)? ;
 ParamList = ( ParamHead (',' ParamTail)? | ParamTail ) ','? ;
-ParamHead = Param (',' Param)* ( (',' '/' (',' Param)*)? (',' Default)* | (',' Default)+ ',' '/' (',' Default)* ) | Default (',' Default)* (',' '/' (',' Default)*)? ;
-ParamTail = '*' @Id (':' StarExpr)? (',' (Param | Default))* (',' ParamRest)? | '*' (',' (Param | Default))+ (',' ParamRest)? | ParamRest ;
-Param = @Id (':' Expr)? ;
-Default = @Id (':' Expr)? '=' Expr ;
+ParamHead = @Param (',' @Param)* ( (',' '/' (',' @Param)*)? (',' @Default)* | (',' @Default)+ ',' '/' (',' @Default)* ) | @Default (',' @Default)* (',' '/' (',' @Default)*)? ;
+ParamTail = '*' @Id (':' @StarExpr)? (',' (@Param | @Default))* (',' ParamRest)? | '*' (',' (@Param | @Default))+ (',' ParamRest)? | ParamRest ;
+@Param := @Id (':' Expr)? ;
+@Default := @Id (':' Expr)? '=' Expr ;
 ParamRest = '**' @Id (':' Expr)? ;
 Patterns = ('*' @Id | Pattern) (',' ('*' @Id | Pattern))* ','? ;
 Pattern = PatternAtom ('|' PatternAtom)* ('as' @Id)? ;
-PatternAtom = '-'? NUM (('+' | '-') NUM)? | Strings | 'None' | 'True' | 'False' | Dotted ('(' (PatternArg (',' PatternArg)* ','?)? ')')? | '(' Patterns? ')' | '[' Patterns? ']'
+PatternAtom = '-'? NUM (('+' | '-') NUM)? | @Strings | 'None' | 'True' | 'False' | Dotted ('(' (PatternArg (',' PatternArg)* ','?)? ')')? | '(' Patterns? ')' | '[' Patterns? ']'
   | '{' ( PatternItem (',' PatternItem)* ','? )? '}' ;
 PatternArg = (@Id '=')? Pattern ;
-PatternItem = '**' @Id | ('-'? NUM (('+' | '-') NUM)? | Strings | 'None' | 'True' | 'False' | Dotted) ':' Pattern ;
-Yield = 'yield' (StarExprs | 'from' Expr)? ;
-StarExprs = StarExpr (',' StarExpr)* ','? ;
-StarExpr = '*' Expr | Named ;
-Named = @Id ':=' Expr | Expr ;
+PatternItem = '**' @Id | ('-'? NUM (('+' | '-') NUM)? | @Strings | 'None' | 'True' | 'False' | Dotted) ':' Pattern ;
+Yield = 'yield' (@StarExprs | 'from' Expr)? ;
+@StarExprs := @StarExpr (',' @StarExpr)* ','? ;
+@StarExpr := '*' Expr | Expr ;
+@StarNamed := '*' Expr | @Named ;
+@Named := @Id ':=' Expr | Expr ;
 @Binary := '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '<<' | '>>' | '&' | '|' | '^' | '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' | 'is' 'not' | 'and' | 'or' ;
-@Operand := ('+' | '-' | '~' | 'not' | 'await')* ( @Id | @Const | Strings | '(' Inner? ')' | '[' Inner? ']' | '{' (Inner | Pairs)? '}' ) ( '.' @Id | Args | '[' Slices ']' )* ;
+@Operand := ('+' | '-' | '~' | 'not' | 'await')* ( @Id | @Const | @Strings | '(' Inner? ')' | '[' Inner? ']' | '{' (Inner | Pairs)? '}' ) ( '.' @Id | Args | '[' Slices ']' )* ;
 Expr = @Operand (@Binary @Operand)* ('if' @Operand (@Binary @Operand)* 'else' Expr)? | 'lambda' ParamsBare? ':' Expr ;
 ParamsBare = ( BareHead (',' BareTail)? | BareTail ) ','? ;
-BareHead = @Id (',' @Id)* ( (',' '/' (',' @Id)*)? (',' Keyword)* | (',' Keyword)+ ',' '/' (',' Keyword)* ) | Keyword (',' Keyword)* (',' '/' (',' Keyword)*)? ;
-BareTail = '*' @Id (',' (@Id | Keyword))* (',' '**' @Id)? | '*' (',' (@Id | Keyword))+ (',' '**' @Id)? | '**' @Id ;
-Keyword = @Id '=' Expr ;
-Inner = StarExpr (Comp+ | (',' StarExpr)* ','?) | Yield ;
+BareHead = @Id (',' @Id)* ( (',' '/' (',' @Id)*)? (',' @Keyword)* | (',' @Keyword)+ ',' '/' (',' @Keyword)* ) | @Keyword (',' @Keyword)* (',' '/' (',' @Keyword)*)? ;
+BareTail = '*' @Id (',' (@Id | @Keyword))* (',' '**' @Id)? | '*' (',' (@Id | @Keyword))+ (',' '**' @Id)? | '**' @Id ;
+@Keyword := @Id '=' Expr ;
+Inner = @StarNamed (Comp+ | (',' @StarNamed)* ','?) | Yield ;
 Comp = 'async'? 'for' Targets 'in' Or ('if' Or)* ;
 Or = @Operand (@Binary @Operand)* ('if' @Operand (@Binary @Operand)* 'else' Expr)? | @Id ':=' Expr | 'lambda' ParamsBare? ':' Expr ;
+Deleted = @Id | @Member | '(' (Deleted (',' Deleted)* ','?)? ')' | '[' (Deleted (',' Deleted)* ','?)? ']' ;
 Targets = '*'? Target (',' '*'? Target)* ','? ;
-Target = @Id | '(' Targets? ')' | '[' Targets? ']'
-  | ( @Id | @Const | Strings | '(' Inner? ')' | '[' Inner? ']' | '{' (Inner | Pairs)? '}' ) ( '.' @Id | Args | '[' Slices ']' )* ( '.' @Id | '[' Slices ']' ) ;
-Pairs = Pair (Comp+ | (',' Pair)* ','?) ;
-Pair = Expr ':' Expr | '**' Expr ;
-Args = '(' ( ( Arg Comp* (',' Arg)* (',' NamedArgs)? | NamedArgs ) ','? )? ')' ;
-Arg = '*' Expr | Named ;
-NamedArgs = Keyword (',' (Keyword | '*' Expr))* (',' '**' Expr (',' (Keyword | '**' Expr))*)? | '**' Expr (',' (Keyword | '**' Expr))* ;
+Target = @Id | '(' Targets? ')' | '[' Targets? ']' | @Member ;
+@Member := ( @Id | @Const | @Strings | '(' Inner? ')' | '[' Inner? ']' | '{' (Inner | Pairs)? '}' ) ( '.' @Id | Args | '[' Slices ']' )* ( '.' @Id | '[' Slices ']' ) ;
+Single = @Id | '(' Single ')' | @Member ;
+Pairs = @Pair (Comp+ | (',' @Pair)* ','?) ;
+@Pair := Expr ':' Expr | '**' Expr ;
+Args = '(' ( @Given | Expr Comp+ | @Id ':=' Expr Comp+ )? ')' ;
+@Given := ( @Arg (',' @Arg)* (',' NamedArgs)? | NamedArgs ) ','? ;
+@Arg := '*' Expr | @Named ;
+NamedArgs = @Keyword (',' (@Keyword | '*' Expr))* (',' '**' Expr (',' (@Keyword | '**' Expr))*)? | '**' Expr (',' (@Keyword | '**' Expr))* ;
 Slices = Slice (',' Slice)* ','? ;
-Slice = '*' Expr | Named | Expr? ':' Expr? (':' Expr?)? ;
-Strings = (STR | FString)+ ;
+Slice = '*' Expr | @Named | Expr? ':' Expr? (':' Expr?)? ;
+@Strings := (STR | FString)+ ;
 FString = F_START (F_TEXT | Field)* F_END ;
-Field = '{' (StarExprs | Yield) '='? ('!' @Id)? (':' (F_TEXT | Field)*)? '}' ;
+Field = '{' (@StarExprs | Yield) '='? ('!' @Id)? (':' (F_TEXT | Field)*)? '}' ;
 """
 
 RUST = r"""
@@ -191,8 +200,8 @@ Tree = '(' Tree* ')' | '[' Tree* ']' | '{' Tree* '}' | @Any ;
   | '+' | '-' | '*' | '/' | '%' | '^' | '!' | '&' | '|' | '&&' | '||' | '<<' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<=' | '=' | '==' | '!=' | '>' | '<' | '>=' | '<='
   | '@' | '.' | '..' | '...' | '..=' | ',' | ';' | ':' | '::' | '->' | '=>' | '#' | '$' | '?' | '~' | '\\' ;
 @Braced := '{' Tree* '}' ;
-Vis = 'pub' ( '(' ('crate' | 'self' | 'super' | 'in' SimplePath) ')' )? ;
-SimplePath = '::'? @Seg ('::' @Seg)* ;
+Vis = 'pub' ( '(' ('crate' | 'self' | 'super' | 'in' @SimplePath) ')' )? ;
+@SimplePath := '::'? @Seg ('::' @Seg)* ;
 @Seg := @Id | 'self' | 'super' | 'crate' | 'Self' | '$' 'crate' ;
 Item = Attr* ( Vis? ( 'use' UseTree ';' | 'mod' @Id (';' | '{' (InnerAttr | Item)* '}') | Fn | 'type' @Id Generics? (':' Bounds?)? Where? ('=' Type Where?)? ';'
     | 'const' (@Id | '_') (':' Type)? ('=' Expr)? ';' | 'static' 'mut'? @Id ':' Type ('=' Expr)? ';'
@@ -201,7 +210,7 @@ Item = Attr* ( Vis? ( 'use' UseTree ';' | 'mod' @Id (';' | '{' (InnerAttr | Item
     | 'unsafe'? 'auto'? 'trait' @Id Generics? (':' Bounds?)? Where? '{' InnerAttr* Item* '}' | 'trait' @Id Generics? '=' Bounds? Where? ';'
     | 'default'? 'unsafe'? 'impl' Generics? 'const'? '!'? Type ('for' Type)? Where? '{' InnerAttr* Item* '}'
     | 'unsafe'? 'extern' STR? '{' InnerAttr* Item* '}' | 'extern' 'crate' (@Id | 'self') ('as' (@Id | '_'))? ';' )
-  | SimplePath '!' @Id? ( '(' Tree* ')' ';' | '[' Tree* ']' ';' | @Braced ) ) ;
+  | @SimplePath '!' @Id? ( '(' Tree* ')' ';' | '[' Tree* ']' ';' | @Braced ) ) ;
 UseTree = '::'? ( '*' | '{' (UseTree (',' UseTree)* ','?)? '}' | @Seg ('::' @Seg)* ( '::' '*' | '::' '{' (UseTree (',' UseTree)* ','?)? '}' | 'as' (@Id | '_') )? ) ;
 Fn = ('default' | 'const' | 'async' | 'unsafe' | 'safe')* ('extern' STR?)? 'fn' @Id Generics? '(' (FnParam (',' FnParam)* ','?)? ')' ('->' Type)? Where? (Block | ';') ;
 FnParam = Attr* ( '&'? LIFETIME? 'mut'? 'self' (':' Type)? | PatternNoTop ':' (Type | '...') | '...' ) ;
@@ -219,32 +228,37 @@ Bound = LIFETIME | ('?' | '~' 'const' | 'const' | 'async')? ForAll? TypePath | '
 Type = '&' LIFETIME? 'mut'? Type | '&&' LIFETIME? 'mut'? Type | '*' ('const' | 'mut') Type | '[' Type (';' Expr)? ']' | '(' (Type (',' Type)* ','?)? ')' | '!' | '_' | ('impl' | 'dyn') Bounds
   | ForAll? 'unsafe'? ('extern' STR?)? 'fn' '(' (FnTypeParam (',' FnTypeParam)* ','?)? ')' ('->' Type)? | ForAll? TypePath ('+' Bound)* | TypePath '!' ('(' Tree* ')' | '[' Tree* ']' | @Braced) ;
 FnTypeParam = Attr* ((@Id | '_') ':')? Type | '...' ;
-TypePath = '::'? TypeSeg ('::' TypeSeg)* | '<' Type ('as' TypePath)? '>' ('::' TypeSeg)+ ;
-TypeSeg = @Seg ('::'? GenericArgs | '::'? '(' (Type (',' Type)* ','?)? ')' ('->' Type)?)? ;
+TypePath = '::'? @TypeSeg ('::' @TypeSeg)* | '<' Type ('as' TypePath)? '>' ('::' @TypeSeg)+ ;
+@TypeSeg := @Seg ('::'? GenericArgs | '::'? '(' (Type (',' Type)* ','?)? ')' ('->' Type)?)? ;
 GenericArgs = '<' (GenericArg (',' GenericArg)* ','?)? '>' ;
 GenericArg = LIFETIME | Type | Block | '-'? @Lit | @Id GenericArgs? ('=' Type | ':' Bounds) ;
 Pattern = '|'? PatternNoTop ('|' PatternNoTop)* ;
-PatternNoTop = 'ref'? 'mut'? @Id ('@' PatternNoTop)? | '_' | '..' | '-'? @Lit | PatEnd? ('..' | '..=' | '...') PatEnd? | ('&' | '&&') 'mut'? PatternNoTop | '(' (Pattern (',' Pattern)* ','?)? ')'
-  | '[' (Pattern (',' Pattern)* ','?)? ']' | ExprPath ( '(' (Pattern (',' Pattern)* ','?)? ')' | '{' (PatField (',' PatField)* ','?)? '}' )? | SimplePath '!' ('(' Tree* ')' | '[' Tree* ']' | @Braced)
+PatternNoTop = 'ref'? 'mut'? @Id ('@' PatternNoTop)? | '_' | '..' | '-'? @Lit | @PatEnd? ('..' | '..=' | '...') @PatEnd? | ('&' | '&&') 'mut'? PatternNoTop | '(' (Pattern (',' Pattern)* ','?)? ')'
+  | '[' (Pattern (',' Pattern)* ','?)? ']' | @ExprPath ( '(' (Pattern (',' Pattern)* ','?)? ')' | '{' (PatField (',' PatField)* ','?)? '}' )? | @SimplePath '!' ('(' Tree* ')' | '[' Tree* ']' | @Braced)
   | 'const' Block ;
-PatEnd = '-'? @Lit | ExprPath ;
+@PatEnd := '-'? @Lit | @ExprPath ;
 PatField = Attr* ( '..' | (@Id | NUM) ':' Pattern | 'ref'? 'mut'? @Id ) ;
-ExprPath = '::'? ExprSeg ('::' ExprSeg)* | '<' Type ('as' TypePath)? '>' ('::' ExprSeg)+ ;
-ExprSeg = @Seg ('::' GenericArgs)? ;
-Block = '{' InnerAttr* ( ';' | Let | Item | Attr* Expr ';' | Attr* BlockLike | SimplePath '!' @Braced )* (Attr* Expr)? '}' ;
+@ExprPath := '::'? @ExprSeg ('::' @ExprSeg)* | '<' Type ('as' TypePath)? '>' ('::' @ExprSeg)+ ;
+@ExprSeg := @Seg ('::' GenericArgs)? ;
+Block = '{' InnerAttr* ( ';' | Let | Item | Attr* Expr-('let') ';' | Attr* BlockLike | @SimplePath '!' @Braced )* (Attr* Expr-('let'))? '}' ;
 Let = Attr* 'let' Pattern (':' Type)? ('=' Expr ('else' Block)?)? ';' ;
-BlockLike = (LIFETIME ':')? ( ('unsafe' | 'const' | 'async' 'move'?)? Block | 'loop' Block | 'while' Cond Block | 'for' Pattern 'in' Cond Block ) | 'if' Cond Block ('else' 'if' Cond Block)* ('else' Block)?
-  | 'match' Cond '{' InnerAttr* (Arm)* '}' ;
-Cond = Expr ;
-Arm = Attr* Pattern ('if' Expr)? '=>' ( Expr ',' | BlockLike ','? | Expr ) ;
+BlockLike = (LIFETIME ':')? ( ('unsafe' | 'const' | 'async' 'move'?)? Block | 'loop' Block | 'while' @Cond Block | 'for' Pattern 'in' @Cond Block ) | 'if' @Cond Block ('else' 'if' @Cond Block)* ('else' Block)?
+  | 'match' @Cond '{' InnerAttr* Arm* LastArm? '}' ;
+@Cond := Expr ;
+Arm = Attr* Pattern ('if' Expr)? '=>' ( Expr ',' | BlockLike ','? ) ;
+LastArm = Attr* Pattern ('if' Expr)? '=>' Expr ;
 @Prefix := '-' | '!' | '*' | ('&' | '&&') ('raw' ('const' | 'mut'))? 'mut'? | '..' | '..=' | 'let' Pattern '=' ;
-@Primary := @Lit | ExprPath ( '{' (StructField (',' StructField)* ','?)? '}' )? | SimplePath '!' ('(' Tree* ')' | '[' Tree* ']' | @Braced) | '(' (Attr* Expr (',' Attr* Expr)* ','?)? ')'
+@Primary := @Lit | @ExprPath ( '{' (StructField (',' StructField)* ','?)? '}' )? | @SimplePath '!' ('(' Tree* ')' | '[' Tree* ']' | @Braced) | '(' (Attr* Expr (',' Attr* Expr)* ','?)? ')'
   | '[' (Expr (';' Expr | (',' Expr)* ','?))? ']' | BlockLike | Closure | ('break' LIFETIME? | 'return' | 'yield') Expr? | 'continue' LIFETIME? | '_' | '..' ;
 @Postfix := '?' | '.' ('await' | NUM | (@Id | 'self') ('::' GenericArgs)?) | '(' (Expr (',' Expr)* ','?)? ')' | '[' Expr ']' | 'as' Type ;
-@Binary := '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>' '>' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '&&' | '||' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<='
+@Tight := '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>' '>' ;
+@Compare := '==' | '!=' | '<' | '>' | '<=' | '>=' ;
+@Loose := '&&' | '||' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<='
   | '>' '>=' | '..' | '..=' ;
 @Operand := (@Prefix)* @Primary (@Postfix)* ;
-Expr = @Operand (@Binary @Operand)* '..'? ;
+# comparisons do not chain
+@Sum := @Operand (@Tight @Operand)* ;
+Expr = @Sum (@Compare @Sum)? ( @Loose @Sum (@Compare @Sum)? )* '..'? ;
 StructField = Attr* ( (@Id | NUM) (':' Expr)? | '..' Expr? ) ;
 Closure = ForAll? 'static'? ('async')? 'move'? ( '||' | '|' (ClosureParam (',' ClosureParam)* ','?)? '|' ) ( '->' Type Block | Expr ) ;
 ClosureParam = Attr* PatternNoTop (':' Type)? ;
@@ -257,40 +271,41 @@ Import = 'import' ( ImportSpec | '(' (ImportSpec ';')* ImportSpec? ')' ) ;
 ImportSpec = (NAME | '.')? STR ;
 TopDecl = Decl | Func ;
 Decl = 'const' ( ConstSpec | '(' (ConstSpec ';')* ConstSpec? ')' ) | 'var' ( VarSpec | '(' (VarSpec ';')* VarSpec? ')' ) | 'type' ( TypeSpec | '(' (TypeSpec ';')* TypeSpec? ')' ) ;
-ConstSpec = Names (Type? '=' Exprs)? ;
-VarSpec = Names ( Type ('=' Exprs)? | '=' Exprs ) ;
+ConstSpec = @Names (Type? '=' @Exprs)? ;
+VarSpec = @Names ( Type ('=' @Exprs)? | '=' @Exprs ) ;
 TypeSpec = NAME TypeParams? '='? Type ;
-Names = NAME (',' NAME)* ;
+@Names := NAME (',' NAME)* ;
 TypeParams = '[' TypeParam (',' TypeParam)* ','? ']' ;
-TypeParam = Names Constraint ;
+TypeParam = @Names Constraint ;
 Constraint = '~'? Type ('|' '~'? Type)* ;
-Func = 'func' Params? NAME TypeParams? Params Result? Block? ;
-Params = '(' (Param (',' Param)* ','?)? ')' ;
-Param = NAME? '...'? Type ;
-Result = Params | Type ;
-Type = NAME ('.' NAME)? ('[' Type (',' Type)* ','? ']')? | '*' Type | '[' (Expr | '...')? ']' Type | 'map' '[' Type ']' Type | 'chan' '<-'? Type | '<-' 'chan' Type | 'func' Params Result? | StructType | InterfaceType | '(' Type ')' ;
+Func = 'func' @Params? NAME TypeParams? @Params Result? Block? ;
+@Params := '(' (@Param (',' @Param)* ','?)? ')' ;
+@Param := NAME? '...'? Type ;
+Result = @Params | Type ;
+Type = NAME ('.' NAME)? ('[' Type (',' Type)* ','? ']')? | '*' Type | '[' (Expr | '...')? ']' Type | 'map' '[' Type ']' Type | 'chan' '<-'? Type | '<-' 'chan' Type | 'func' @Params Result? | StructType | InterfaceType | '(' Type ')' ;
 StructType = 'struct' '{' (FieldDecl ';')* FieldDecl? '}' ;
-FieldDecl = ( Names Type | '*'? NAME ('.' NAME)? ('[' Type (',' Type)* ']')? | '(' '*'? NAME ('.' NAME)? ')' ) STR? ;
+FieldDecl = ( @Names Type | '*'? NAME ('.' NAME)? ('[' Type (',' Type)* ']')? | '(' '*'? NAME ('.' NAME)? ')' ) STR? ;
 InterfaceType = 'interface' '{' (InterfaceItem ';')* InterfaceItem? '}' ;
-InterfaceItem = NAME Params Result? | Constraint ;
+InterfaceItem = NAME @Params Result? | Constraint ;
 Block = '{' (Stmt? ';')* Stmt? '}' ;
-Stmt = Decl | SimpleStmt | NAME ':' Stmt? | ('go' | 'defer') Expr | 'return' Exprs? | ('break' | 'continue' | 'goto') NAME? | 'fallthrough' | Block | If
+Stmt = Decl | SimpleStmt | NAME ':' Stmt? | ('go' | 'defer') Call | 'return' @Exprs? | ('break' | 'continue' | 'goto') NAME? | 'fallthrough' | Block | If
   | 'switch' ( SimpleStmt? ';' )? ( SimpleStmt )? '{' ( ('case' CaseList | 'default') ':' (Stmt? ';')* Stmt? )* '}'
   | 'select' '{' ( ('case' SimpleStmt | 'default') ':' (Stmt? ';')* Stmt? )* '}'
-  | 'for' ( SimpleStmt? ';' SimpleStmt? ';' SimpleStmt? | (Exprs ('=' | ':='))? 'range' Expr | Expr )? Block ;
+  | 'for' ( SimpleStmt? ';' SimpleStmt? ';' SimpleStmt? | (@Exprs ('=' | ':='))? 'range' Expr | Expr )? Block ;
 CaseList = Expr (',' Expr)* ','? ;
 If = 'if' (SimpleStmt? ';')? Expr Block ('else' (If | Block))? ;
-SimpleStmt = Exprs ( @Assign (Exprs) | '++' | '--' | '<-' Expr )? ;
-@Assign := '=' | ':=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^=' ;
-Exprs = Expr (',' Expr)* ;
+SimpleStmt = @Exprs @Assign @Exprs | @Names ':=' @Exprs | Expr ( '++' | '--' | '<-' Expr )? ;
+@Assign := '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^=' ;
+@Exprs := Expr (',' Expr)* ;
 @Binary := '||' | '&&' | '==' | '!=' | '<' | '<=' | '>' | '>=' | '+' | '-' | '|' | '^' | '*' | '/' | '%' | '<<' | '>>' | '&' | '&^' ;
-@Operand := ('+' | '-' | '!' | '^' | '*' | '&' | '<-' | '~')* ( @Lit | NAME Braces? | '(' TypeOrExpr ')' | 'func' Params Result? Block? | @TypeLit Braces? )
-  ( '.' (NAME Braces? | '(' (Type | 'type') ')') | '[' Index ']' Braces? | Args )* ;
+@Operand := ('+' | '-' | '!' | '^' | '*' | '&' | '<-' | '~')* ( @Lit | NAME Braces? | '(' @TypeOrExpr ')' | 'func' @Params Result? Block? | @TypeLit Braces? )
+  ( '.' (NAME Braces? | '(' (Type | 'type') ')') | '[' Index ']' Braces? | @Args )* ;
 @TypeLit := '[' (Expr | '...')? ']' Type | 'map' '[' Type ']' Type | 'chan' '<-'? Type | StructType | InterfaceType ;
 Expr = @Operand (@Binary @Operand)* ;
-TypeOrExpr = Expr | Type ;
-Index = TypeOrExpr (',' TypeOrExpr)* ','? | Expr? ':' Expr? (':' Expr)? ;
-Args = '(' ( TypeOrExpr (',' TypeOrExpr)* '...'? ','? )? ')' ;
+Call = ( @Lit | NAME Braces? | '(' @TypeOrExpr ')' | 'func' @Params Result? Block? | @TypeLit Braces? ) ( '.' (NAME Braces? | '(' (Type | 'type') ')') | '[' Index ']' Braces? | @Args )* @Args ;
+@TypeOrExpr := Expr | Type ;
+Index = @TypeOrExpr (',' @TypeOrExpr)* ','? | Expr? ':' Expr? (':' Expr)? ;
+@Args := '(' ( @TypeOrExpr (',' @TypeOrExpr)* '...'? ','? )? ')' ;
 Braces = '{' ( Element (',' Element)* ','? )? '}' ;
 Element = (Expr | Braces) (':' (Expr | Braces))? ;
 """

@@ -25,7 +25,7 @@ TS_ONLY = frozenset("type interface declare namespace module abstract readonly p
 _ECMA = re.compile(
     r"""((?:[ \t\f\v\xa0﻿\r\n  ]+|//[^\n]*|/\*.*?\*/)*)(?:
     ([A-Za-z_$\x80-\U0010ffff][\w$\x80-\U0010ffff]*)
-    |(0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?)(?![\w$])
+    |(0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0\d+(?:\.\d*)?|(?:0|[1-9]\d*(?:_\d+)*)n|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?)(?![\w$])
     |("(?:[^"\\\n]|\\(?:\r\n|.))*"|'(?:[^'\\\n]|\\(?:\r\n|.))*')
     |(\#[A-Za-z_$][\w$]*)
     |(\.\.\.|=>|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|<<|\*\*|[{}()\[\];,<>+\-*%&|^!~?:=.@])
@@ -320,6 +320,7 @@ def go(text: str) -> list[str] | None:
 
 _PY_SOFT = frozenset(["match", "case", "type"])
 _PY_WORDS = frozenset(keyword.kwlist) | _PY_SOFT
+_PY_OLD_OCTAL = re.compile(r"0[0-9_]*[1-9][0-9_]*")
 _PY_SKIP = frozenset([tokenize.COMMENT, tokenize.NL, tokenize.ENCODING, tokenize.TYPE_COMMENT])
 
 
@@ -336,7 +337,7 @@ def python(text: str) -> list[str] | None:
                 continue
             elif kind == tokenize.ENDMARKER:
                 out.append(EOF)
-            elif kind == tokenize.ERRORTOKEN:
+            elif kind == tokenize.ERRORTOKEN or kind == tokenize.NUMBER and _PY_OLD_OCTAL.fullmatch(string):
                 return None
             else:
                 out.append({"NUMBER": "NUM", "STRING": "STR", "FSTRING_START": "F_START", "FSTRING_MIDDLE": "F_TEXT", "FSTRING_END": "F_END"}.get(tokenize.tok_name[kind], tokenize.tok_name[kind]))

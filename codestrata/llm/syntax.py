@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import gc
+import io
+import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,19 +49,32 @@ def parses(language: str, text: str) -> bool:
     return bool(recognise(grammar_of(language), tokens, list(starts)))
 
 
+def decoded(language: str, raw: bytes) -> str | None:
+    """The text of a file: UTF-8, for Python the encoding that its first two lines name; None where the bytes do not fit it."""
+    try:
+        if language == "py" and b"coding" in b"".join(raw.split(b"\n", 2)[:2]):
+            return raw.decode(tokenize.detect_encoding(io.BytesIO(raw).readline)[0])
+        return raw.decode()
+    except (UnicodeDecodeError, SyntaxError, LookupError):
+        return None
+
+
 @frame_stage
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     gc.disable()  # the stack graphs hold many small tuples and hardly any rings
+    try:
+        yield from _verdicts(batches)
+    finally:
+        gc.enable()
+
+
+def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         gc.collect()
         verdicts = []
         for kind, raw in zip(pdf["kind"], pdf["content"]):
-            try:
-                text = bytes(raw).decode()
-            except UnicodeDecodeError:
-                verdicts.append(False)
-            else:
-                verdicts.append(parses(kind, text))
+            text = decoded(kind, bytes(raw))
+            verdicts.append(text is not None and parses(kind, text))
         yield pdf[["digest", "kind"]].assign(parses=verdicts)
 
 
@@ -73,7 +88,7 @@ def language_key(path: Column) -> Column:
 def judged_files(files: DataFrame) -> DataFrame:
     """``file_id, repo, language, parses``: false where every dialect of the language of the extension rejects the content, null where there is no content or no known extension.
 
-    Content that repeats under the same language is parsed once. Bytes that are no UTF-8 do not parse; blank contents
+    Content that repeats under the same language is parsed once. Bytes that are no UTF-8 (in Python: of the encoding that the file names) do not parse; blank contents
     parse. Null paths and repeated rows are judged like others; a file of any length is parsed whole, in one row; empty
     tables give none; other columns are ignored.
     """
