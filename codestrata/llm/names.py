@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,10 +23,10 @@ SHORT_FORMS = {
     "cindy": "cynthia", "dan": "daniel", "danny": "daniel", "dave": "david", "deb": "deborah", "debbie": "deborah", "debby": "deborah", "dick": "richard", "rick": "richard frederick", "ricky": "richard", "rich": "richard", "richie": "richard",
     "don": "donald", "doug": "douglas", "ed": "edward edwin", "eddie": "edward", "ned": "edward", "ted": "edward theodore", "teddy": "theodore edward", "theo": "theodore", "frank": "francis franklin", "fran": "frances francis francois", "fred": "frederick alfred", "freddie": "frederick", "freddy": "frederick",
     "gabe": "gabriel", "geoff": "geoffrey", "gerry": "gerald", "gosia": "malgorzata", "malgosia": "malgorzata", "greg": "gregory", "gus": "august", "hal": "harold henry", "hank": "henry", "harry": "harold henry", "inga": "ingrid", "inge": "ingrid", "jack": "john", "jake": "jacob", "jim": "james", "jimmy": "james", "jamie": "james",
-    "jeff": "jeffrey", "jen": "jennifer", "jenny": "jennifer", "jenn": "jennifer", "jerry": "gerald jeremy", "joe": "joseph", "joey": "joseph", "jon": "jonathan john", "jonny": "jonathan", "johnny": "john jonathan", "josh": "joshua", "judy": "judith", "ken": "kenneth kenji", "kim": "kimberly", "larry": "lawrence", "len": "leonard", "lucky": "lakshmi",
+    "jeff": "jeffrey", "jen": "jennifer", "jenny": "jennifer", "jenn": "jennifer", "jerry": "gerald jeremy", "joe": "joseph", "joey": "joseph", "jon": "jonathan john", "jonny": "jonathan", "johnny": "john jonathan", "josh": "joshua", "judy": "judith", "ken": "kenneth", "kim": "kimberly", "larry": "lawrence", "len": "leonard",
     "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "marge": "margaret", "margie": "margaret", "greta": "margaret", "mandy": "amanda", "matt": "matthew", "mattie": "matthew", "mel": "melissa melanie", "mike": "michael", "mick": "michael", "mickey": "michael", "mitch": "mitchell", "nate": "nathan nathaniel", "nick": "nicholas", "nicky": "nicholas nicole", "nico": "nicholas",
     "pam": "pamela", "pat": "patricia patrick", "patty": "patricia", "tricia": "patricia", "trish": "patricia", "pete": "peter", "phil": "philip phillip", "ray": "raymond", "ron": "ronald", "sam": "samuel samantha", "sammy": "samuel", "sandy": "sandra alexander", "steve": "steven stephen", "stu": "stuart", "sue": "susan", "susie": "susan", "suzy": "susan",
-    "tim": "timothy", "tina": "christina valentina martina", "val": "valentina valerie", "tom": "thomas tomas", "tommy": "thomas", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "vic": "victor victoria", "vince": "vincent", "walt": "walter", "wes": "wesley", "zack": "zachary", "ollie": "oliver oluwaseun", "seun": "oluwaseun", "joss": "joseph", "iva": "ivana", "mimi": "noemie", "eng": "engineering", "tech": "technologies technology", "sys": "systems", "res": "research", "soft": "software", "sw": "software", "svc": "services",
+    "tim": "timothy", "tina": "christina valentina martina", "val": "valentina valerie", "tom": "thomas tomas", "tommy": "thomas", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "vic": "victor victoria", "vince": "vincent", "walt": "walter", "wes": "wesley", "zack": "zachary", "ollie": "oliver oluwaseun", "seun": "oluwaseun", "joss": "joseph", "iva": "ivana", "eng": "engineering", "tech": "technologies technology", "sys": "systems", "res": "research", "soft": "software", "sw": "software", "svc": "services",
     "svcs": "services", "anal": "analytics", "dev": "development", "intl": "international", "mfg": "manufacturing", "assoc": "associates", "univ": "university", "dept": "department", "labs": "laboratories",
 }
 SHORT_FORMS = {k: tuple(v.split()) for k, v in SHORT_FORMS.items()}
@@ -64,7 +66,7 @@ def parse(name: str | None) -> tuple[str, str] | None:
         return "full", " ".join(long)
     if long and short:
         return "initial", f"{long[0]} {short[0]}"
-    if long and len(long[0]) >= 4:
+    if long and len(long[0]) >= 3:
         return "handle", long[0]
     return ("alone", " ".join(words)) if words else None
 
@@ -81,8 +83,7 @@ def offers(key: str) -> set[str]:
     for i, w in enumerate(words):
         rest = words[:i] + words[i + 1 :]
         out |= {f"D {' '.join(rest)} {d}" for d in deletions(w)}
-        if len(words) == 2:
-            o = rest[0]
+        for o in rest:
             out |= {f"X {w} {o[0]}", f"H {o[0]}{w}", f"H {w}{o[0]}", f"H {w}{o}"}
             out |= {f"Y {d} {o[0]}" for d in deletions(w)}
     return out
@@ -135,7 +136,7 @@ def fits(change: str, variant: str, meant: str) -> bool:
         options = [(a, b) for a in extra_v for b in extra_m]
         return any(b in map(fold, SHORT_FORMS.get(a, ())) and all(near(c, d) for c in extra_v if c != a for d in extra_m if d != b) for a, b in options)
     if change == "initial typo":
-        return any(near(v[0], w) and o[0] == v[1] and v[0][-1] == w[-1] for w, o in (m, m[::-1]))
+        return any(near(v[0], w) and o[0] == v[1] and v[0][-1] == w[-1] for w, o in itertools.permutations(m, 2))
     return True
 
 
@@ -161,7 +162,7 @@ def _fitting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[[fits(c, v, m) for c, v, m in zip(pdf["change"], pdf["key"], pdf["meant"])]]
 
 
-def name_entities(names: DataFrame, space: str, name: str, min_posterior: float = 0.6, rounds: int = 3) -> DataFrame:
+def name_entities(names: DataFrame, space: str, name: str, min_posterior: float = 0.6) -> DataFrame:
     """``space, name, entity``: the spellings of each space (exactly as they stand) with the entity that each means.
 
     Noisy channel: spellings that differ only in case, marks, order, separators, middle initials, mail addresses or
@@ -178,7 +179,7 @@ def name_entities(names: DataFrame, space: str, name: str, min_posterior: float
     spelled = names.where(F.col(space).isNotNull() & F.col(name).isNotNull()).groupBy(F.col(space).alias("space"), F.col(name).alias("name")).agg(F.count("*").alias("n"))
     parsed = stage(spread(spelled, shuffled=True).mapInPandas(_parsed, f"space {kind}, name string, n long, kind string, key string"))
     forms = parsed.groupBy("space", "kind", "key").agg(F.sum("n").alias("n"))
-    blocks = stage(forms.mapInPandas(_blocks, f"space {kind}, kind string, key string, n long, block string, change string"))
+    blocks = stage(spread(forms, shuffled=True).mapInPandas(_blocks, f"space {kind}, kind string, key string, n long, block string, change string"))
     sought = blocks.where("change is not null")
     offered = blocks.where("change is null").select("space", "block", F.col("key").alias("meant"), F.col("n").alias("meant_n"))
     shared = sought.join(offered, ["space", "block"]).where("not (kind = 'full' and key = meant)")
@@ -191,9 +192,12 @@ def name_entities(names: DataFrame, space: str, name: str, min_posterior: float
     # the rivals of a full name's best candidate are mostly typos of the same name, so it is taken as it is
     full = weighed.where("kind = 'full'").groupBy("space", "kind", "key", "meant").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(own)).where("rank = 1")
     links = stage(full.select("space", "key", F.col("meant").alias("top")))
-    for _ in range(rounds):  # each round doubles the length of the chains followed
+    for _ in range(math.ceil(math.log2(links.count() + 2))):  # each round doubles the length of the chains followed, so these end the longest
         over = links.select("space", F.col("key").alias("top"), F.col("top").alias("higher"))
-        links = stage(links.join(over, ["space", "top"], "left").select("space", "key", F.coalesce("higher", "top").alias("top")))
+        moved = stage(links.join(over, ["space", "top"], "left").select("space", "key", F.coalesce("higher", "top").alias("top"), F.col("higher").isNotNull().alias("moved")))
+        links = moved.drop("moved")
+        if not moved.where("moved").limit(1).count():
+            break
     tops = links.select("space", F.col("key").alias("meant"), "top")
     short = weighed.where("kind <> 'full'").join(tops, ["space", "meant"], "left").groupBy("space", "kind", "key", F.coalesce("top", "meant").alias("meant")).agg(F.sum("score").alias("score"))
     share = F.col("score") / F.sum("score").over(Window.partitionBy("space", "kind", "key"))
