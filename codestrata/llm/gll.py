@@ -140,14 +140,22 @@ class Grammar:
             first, last = node(), node()
             build(self.trees[rule], first, last)
 
+            reach: dict[int, frozenset[int]] = {}
+
+            def alone(state: int) -> frozenset[int]:
+                """States with steps, or the last one, that a state reaches without a step."""
+                if state not in reach:
+                    todo, seen = [state], {state}
+                    while todo:
+                        for label, b in nfa[todo.pop()]:
+                            if label is None and b not in seen:
+                                seen.add(b)
+                                todo.append(b)
+                    reach[state] = frozenset(s for s in seen if s == last or any(label is not None for label, _ in nfa[s]))
+                return reach[state]
+
             def closure(states: set[int]) -> frozenset[int]:
-                todo, seen = list(states), set(states)
-                while todo:
-                    for label, b in nfa[todo.pop()]:
-                        if label is None and b not in seen:
-                            seen.add(b)
-                            todo.append(b)
-                return frozenset(seen)
+                return frozenset().union(*map(alone, states))
 
             known: dict[frozenset, int] = {}
             order = [closure({first})]

@@ -77,7 +77,7 @@ Decorator = '@' ( @Id ('.' (@Word | PRIVATE))* @Args? | '(' Expr ')' ) ;
 
 Expr = Assign (',' Assign)* ;
 # arrow functions and assignments are no operands; only names, members and patterns can be assigned to; ?? does not mix with && and ||
-@Chain := @Operand (@Binary @Operand)* ( (('&&' | '||') @Operand (@Binary @Operand)*)* | ('??' @Operand (@Binary @Operand)*)* ) ;
+@Chain := (@Operand (@Binary | '&&' | '||'))* @Operand | (@Operand (@Binary | '??'))* @Operand ;
 @Assigned := @Id | ArrayLit | ObjectLit | '(' Expr ')' | 'new'* @Primary (@Postfix)* ( '.' (@Word | PRIVATE) | '[' Expr ']' ?ts{ | '!' } ) ;
 Assign = 'yield' ('*'? Assign)? | @Id '=>' ArrowBody | 'async' @Id '=>' ArrowBody | Arrow | @Chain ('?' Assign ':' Assign)? | @Assigned @Assignment Assign ;
 @Args := '(' (@Arg (',' @Arg)* ','?)? ')' ;
@@ -162,14 +162,14 @@ Yield = 'yield' (@StarExprs | 'from' Expr)? ;
 @Named := @Id ':=' Expr | Expr ;
 @Binary := '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '<<' | '>>' | '&' | '|' | '^' | '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' | 'is' 'not' | 'and' | 'or' ;
 @Operand := ('+' | '-' | '~' | 'not' | 'await')* ( @Id | @Const | @Strings | '(' Inner? ')' | '[' Inner? ']' | '{' (Inner | Pairs)? '}' ) ( '.' @Id | Args | '[' Slices ']' )* ;
-Expr = @Operand (@Binary @Operand)* ('if' @Operand (@Binary @Operand)* 'else' Expr)? | 'lambda' ParamsBare? ':' Expr ;
+Expr = (@Operand @Binary)* @Operand ('if' (@Operand @Binary)* @Operand 'else' Expr)? | 'lambda' ParamsBare? ':' Expr ;
 ParamsBare = ( BareHead (',' BareTail)? | BareTail ) ','? ;
 BareHead = @Id (',' @Id)* ( (',' '/' (',' @Id)*)? (',' @Keyword)* | (',' @Keyword)+ ',' '/' (',' @Keyword)* ) | @Keyword (',' @Keyword)* (',' '/' (',' @Keyword)*)? ;
 BareTail = '*' @Id (',' (@Id | @Keyword))* (',' '**' @Id)? | '*' (',' (@Id | @Keyword))+ (',' '**' @Id)? | '**' @Id ;
 @Keyword := @Id '=' Expr ;
 Inner = @StarNamed (Comp+ | (',' @StarNamed)* ','?) | Yield ;
 Comp = 'async'? 'for' Targets 'in' Or ('if' Or)* ;
-Or = @Operand (@Binary @Operand)* ('if' @Operand (@Binary @Operand)* 'else' Expr)? | @Id ':=' Expr | 'lambda' ParamsBare? ':' Expr ;
+Or = (@Operand @Binary)* @Operand ('if' (@Operand @Binary)* @Operand 'else' Expr)? | @Id ':=' Expr | 'lambda' ParamsBare? ':' Expr ;
 Deleted = @Id | @Member | '(' (Deleted (',' Deleted)* ','?)? ')' | '[' (Deleted (',' Deleted)* ','?)? ']' ;
 Targets = '*'? Target (',' '*'? Target)* ','? ;
 Target = @Id | '(' Targets? ')' | '[' Targets? ']' | @Member ;
@@ -257,8 +257,8 @@ LastArm = Attr* Pattern ('if' Expr)? '=>' Expr ;
   | '>' '>=' | '..' | '..=' ;
 @Operand := (@Prefix)* @Primary (@Postfix)* ;
 # comparisons do not chain
-@Sum := @Operand (@Tight @Operand)* ;
-Expr = @Sum (@Compare @Sum)? ( @Loose @Sum (@Compare @Sum)? )* '..'? ;
+@Sum := (@Operand @Tight)* @Operand ;
+Expr = ( @Sum (@Compare @Sum)? @Loose )* @Sum (@Compare @Sum)? '..'? ;
 StructField = Attr* ( (@Id | NUM) (':' Expr)? | '..' Expr? ) ;
 Closure = ForAll? 'static'? ('async')? 'move'? ( '||' | '|' (ClosureParam (',' ClosureParam)* ','?)? '|' ) ( '->' Type Block | Expr ) ;
 ClosureParam = Attr* PatternNoTop (':' Type)? ;
@@ -301,7 +301,7 @@ SimpleStmt = @Exprs @Assign @Exprs | @Names ':=' @Exprs | Expr ( '++' | '--' | '
 @Operand := ('+' | '-' | '!' | '^' | '*' | '&' | '<-' | '~')* ( @Lit | NAME Braces? | '(' @TypeOrExpr ')' | 'func' @Params Result? Block? | @TypeLit Braces? )
   ( '.' (NAME Braces? | '(' (Type | 'type') ')') | '[' Index ']' Braces? | @Args )* ;
 @TypeLit := '[' (Expr | '...')? ']' Type | 'map' '[' Type ']' Type | 'chan' '<-'? Type | StructType | InterfaceType ;
-Expr = @Operand (@Binary @Operand)* ;
+Expr = (@Operand @Binary)* @Operand ;
 Call = ( @Lit | NAME Braces? | '(' @TypeOrExpr ')' | 'func' @Params Result? Block? | @TypeLit Braces? ) ( '.' (NAME Braces? | '(' (Type | 'type') ')') | '[' Index ']' Braces? | @Args )* @Args ;
 @TypeOrExpr := Expr | Type ;
 Index = @TypeOrExpr (',' @TypeOrExpr)* ','? | Expr? ':' Expr? (':' Expr)? ;
