@@ -16,7 +16,7 @@ MAX_BYTES, SNIFFED = 2 * 1024 * 1024, 8192
 
 
 def language_of(extension: Column) -> Column:
-    return F.coalesce(*[F.when(extension == e, F.lit(v)) for e, v in LANGUAGES.items()])
+    return F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[extension]
 
 
 #: A block comment that begins its line, with all of its first and last line; open ones reach to the end.

@@ -7,8 +7,9 @@ import functools
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
-from codestrata.functions.paths import plain_path
+from codestrata.functions.paths import file_name, plain_path
 from codestrata.operators import imports as op
+from codestrata.operators import resolve as rs
 from codestrata.plans.snapshots import PLAIN
 from codestrata.session import spread, stage
 from codestrata.tables import table
@@ -32,50 +33,37 @@ class Sources:
     def statements(self):
         return stage(op.import_statements(self.files))
 
+    @functools.cached_property
+    def paths(self):
+        return self.raw.where("rel_path is not null").select("scan_id", plain_path(F.col("rel_path")).alias("path"))
+
+    @functools.cached_property
+    def texts(self):
+        """The manifests among the source files."""
+        path = plain_path(F.col("rel_path"))
+        return self.raw.where("content is not null").where(file_name(path).rlike(r"^(tsconfig(\..*)?\.json|package\.json|go\.mod|Cargo\.toml)$")).select("scan_id", path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
     @functools.cached_property
     def resolved(self):
-        return op.resolve(self.statements, self.raw.where("rel_path is not null").select("scan_id", plain_path(F.col("rel_path")).alias("path")))
+        return rs.resolve(self.statements, self.paths, rs.project_of(self.texts, self.paths, self.statements))
+
+
+def source_edges(spark, d):
+    s = Sources(spark, d)
+    s.__dict__["files"] = stage(s.files)
+    return rs.source_edges(s.statements, stage(s.resolved), stage(op.exports(s.files)))
 
 
 QUERIES = {
-    "import_statements": lambda spark, d: op.import_statements(Sources(spark, d).files).select("file_id", "kind", "specifier"),
+    "import_statements": lambda spark, d: op.import_statements(Sources(spark, d).files).select("file_id", "kind", "specifier", "line"),
+    "file_exports": lambda spark, d: op.exports(Sources(spark, d).files).select("file_id", "name", "specifier", "line"),
     "definitions": lambda spark, d: op.definitions(Sources(spark, d).lines).select("file_id", "line", "kind", "name", "exported"),
-    "resolved_imports": lambda spark, d: Sources(spark, d).resolved,
+    "resolved_imports": lambda spark, d: Sources(spark, d).resolved.select("file_id", "specifier", F.array_join("names", ",").alias("names"), "outcome", "target").distinct(),
     "import_outcomes": lambda spark, d: Sources(spark, d).resolved.groupBy("outcome").agg(F.count("*").alias("imports")),
+    "source_edges": source_edges,
     "symbol_edges": lambda spark, d: op.symbol_edges(stage(Sources(spark, d).lines)),
     "external_packages": lambda spark, d: Sources(spark, d).resolved.where("outcome = 'External'").groupBy("target").agg(F.count("*").alias("imports")).orderBy(F.desc("imports"), "target").limit(50),
 }
 
 
-def _quoted(form: str) -> str:
-    return "'" + form.replace("'", "''") + "'"
-
-
-LANG = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{v}'" for e, v in T.LANGUAGES.items()) + " END"
-SOURCES_SQL = f"""
-f0 AS (SELECT file_id, scan_id, {PLAIN.format('rel_path')} AS path, replace(decode(content), chr(13) || chr(10), chr(10)) AS text FROM source_files WHERE content IS NOT NULL AND rel_path IS NOT NULL),
-f1 AS (SELECT *, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\\.([^.]+)$', 1)) AS ext FROM f0),
-f2 AS (SELECT *, {LANG} AS language FROM f1),
-src AS (SELECT file_id, scan_id, path, CASE language WHEN 'Python' THEN 'python' WHEN 'Go' THEN 'go' WHEN 'Rust' THEN 'rust' ELSE 'ecma' END AS family,
-  CASE language WHEN 'Python' THEN regexp_replace(text, {_quoted(op.PY_COMMENTS)}, '\\1', 'g') WHEN 'Rust' THEN regexp_replace(text, {_quoted(op.RUST_COMMENTS)}, '\\1', 'g')
-    ELSE regexp_replace(text, {_quoted(op.C_COMMENTS)}, '\\1', 'g') END AS code FROM f2 WHERE language IS NOT NULL)"""
-IMPORTS_SQL = f"""{SOURCES_SQL},
-hits AS ({' UNION ALL '.join(f"SELECT file_id, scan_id, path, family, '{kind}' AS kind, unnest(regexp_extract_all(code, {_quoted(form)}, 2)) AS said FROM src WHERE family = '{family}'" for family, forms in op.STATEMENTS.items() for kind, form in forms)}),
-parts AS (SELECT file_id, scan_id, path, family, kind, unnest(CASE kind WHEN 'plain' THEN string_split(said, ',') WHEN 'block' THEN regexp_extract_all(said, '"([^"\\n]+)"', 1) ELSE [said] END) AS part FROM hits),
-imp AS (SELECT file_id, scan_id, path, family, CASE WHEN kind IN ('plain', 'block') THEN 'static' ELSE kind END AS kind,
-  trim(CASE WHEN kind = 'plain' THEN regexp_replace(trim(part), '[ \\t]+as[ \\t]+\\w+$', '') ELSE regexp_replace(part, '\\s+', ' ', 'g') END) AS specifier FROM parts)"""
-DEF_BY = lambda g: "CASE family " + " ".join(f"WHEN '{f}' THEN regexp_extract(text, {_quoted(form)}, {g})" for f, form in op.DEFINITIONS.items()) + " END"
-LINES_SQL = f"""{SOURCES_SQL},
-lines AS (SELECT file_id, scan_id, family, unnest(string_split(code, chr(10))) AS text, generate_subscripts(string_split(code, chr(10)), 1) AS line FROM src),
-named AS (SELECT *, {DEF_BY(1)} AS kind, {DEF_BY(2)} AS name FROM lines),
-defs AS (SELECT file_id, scan_id, line, kind, name, CASE family WHEN 'python' THEN NOT regexp_matches(text, '^[ \\t]') AND NOT starts_with(name, '_') WHEN 'go' THEN regexp_matches(name, '^[A-Z]')
-  ELSE regexp_matches(text, '^[ \\t]*(export|pub)\\b') END AS exported FROM named WHERE name <> '')"""
-SQL = {
-    "import_statements": f"WITH {IMPORTS_SQL} SELECT file_id, kind, specifier FROM imp",
-    "definitions": f"WITH {LINES_SQL} SELECT file_id, line, kind, name, exported FROM defs",
-    "symbol_edges": f"""WITH {LINES_SQL},
-calls AS (SELECT DISTINCT scan_id, file_id, line, unnest(regexp_extract_all(text, '([A-Za-z_$][\\w$]*)\\s*\\(', 1)) AS called FROM lines),
-owner AS (SELECT c.scan_id, c.called, (SELECT d.name FROM defs d WHERE d.file_id = c.file_id AND d.line <= c.line ORDER BY d.line DESC, d.name DESC LIMIT 1) AS owner FROM calls c),
-once AS (SELECT scan_id, name FROM defs GROUP BY ALL HAVING count(*) = 1)
-SELECT DISTINCT o.scan_id, o.owner, o.called AS target FROM owner o JOIN once n ON n.scan_id = o.scan_id AND n.name = o.called WHERE owner IS NOT NULL AND owner <> called""",
-}
+SQL = {}
