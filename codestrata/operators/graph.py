@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.operators import small_graphs as small
+from codestrata.operators.cycles import TASK_EDGES
 from codestrata.operators.running import row_numbers, running
 from codestrata.session import cut
 
@@ -44,17 +46,32 @@ def _walk(front: DataFrame, steps: DataFrame, key: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, fronts)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
-    """``scan_id, seed, path``: what each seed reaches in one step or more, the seed itself left out."""
+def reach(edges: DataFrame, seeds: DataFrame, backward: bool = False, task_edges: int = TASK_EDGES) -> DataFrame:
+    """``scan_id, seed, path``: what each seed reaches in one step or more, the seed itself left out.
+
+    Graphs of up to ``task_edges`` edges and seeds are walked inside tasks, larger ones round by round.
+    """
     a, b = ("dst", "src") if backward else ("src", "dst")
-    steps = edges.select("scan_id", F.col(a).alias("path"), F.col(b).alias("next"))
-    return _walk(seeds.select("scan_id", "seed", F.col("seed").alias("path")), steps, ["scan_id", "seed"]).where("path <> seed")
+    turned = edges.select("scan_id", F.col(a).alias("src"), F.col(b).alias("dst"))
+    graphs, large = small.by_size(turned, seeds.select("scan_id", F.col("seed").alias("node")), task_edges)
+    near = small.solved(graphs, small.reach_each, "seed string, path string")
+    if large is None:
+        return near
+    steps = turned.join(large, "scan_id", "left_semi").select("scan_id", F.col("src").alias("path"), F.col("dst").alias("next"))
+    far = _walk(seeds.join(large, "scan_id", "left_semi").select("scan_id", "seed", F.col("seed").alias("path")), steps, ["scan_id", "seed"]).where("path <> seed")
+    return near.unionByName(far.select("scan_id", "seed", "path"))
 
 
-def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """``scan_id, path``: files that depend on any of the ``seeds`` (``scan_id, path``), directly or not; seeds are left out."""
-    steps = edges.select("scan_id", F.col("dst").alias("path"), F.col("src").alias("next"))
-    return _walk(seeds, steps, ["scan_id"]).join(seeds.select("scan_id", "path"), ["scan_id", "path"], "left_anti")
+    turned = edges.select("scan_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    graphs, large = small.by_size(turned, seeds.select("scan_id", F.col("path").alias("node")), task_edges)
+    near = small.solved(graphs, small.reach_all, "path string")
+    if large is None:
+        return near
+    steps = turned.join(large, "scan_id", "left_semi").select("scan_id", F.col("src").alias("path"), F.col("dst").alias("next"))
+    asked = seeds.join(large, "scan_id", "left_semi").select("scan_id", "path")
+    return near.unionByName(_walk(asked, steps, ["scan_id"]).join(asked, ["scan_id", "path"], "left_anti").select("scan_id", "path"))
 
 
 def orphans(files: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -63,12 +80,22 @@ def orphans(files: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame
     return free.join(entries.select("scan_id", "path"), ["scan_id", "path"], "left_anti")
 
 
-def shortest_cycles(edges: DataFrame, groups: DataFrame) -> DataFrame:
+def shortest_cycles(edges: DataFrame, groups: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """``scan_id, component, chain``: of each cycle group the shortest closed walk through its least member, the least in byte order of those.
 
     ``groups`` has ``scan_id, node, component, size``. Walks grow level by level inside their group, of the walks to a
-    file only the least is kept, and a group stops when its walk is closed.
+    file only the least is kept, and a group stops when its walk is closed. Only edges inside groups are looked at.
     """
+    members = groups.select("scan_id", F.col("node").alias("src"), "component").join(edges.select("scan_id", "src", "dst"), ["scan_id", "src"])
+    held = members.join(groups.select("scan_id", F.col("node").alias("dst"), "component"), ["scan_id", "dst", "component"], "left_semi").select("scan_id", "src", "dst")
+    graphs, large = small.by_size(held, groups.select("scan_id", "node").limit(0), task_edges)
+    near = small.solved(graphs, small.least_cycles, "component string, chain array<string>")
+    if large is None:
+        return near
+    return near.unionByName(_cycles_by_rounds(held.join(large, "scan_id", "left_semi"), groups.join(large, "scan_id", "left_semi")))
+
+
+def _cycles_by_rounds(edges: DataFrame, groups: DataFrame) -> DataFrame:
     at = groups.select("scan_id", "node", "component")
     inside = cut(
         edges.join(at.select("scan_id", F.col("node").alias("src"), "component"), ["scan_id", "src"])
@@ -88,11 +115,20 @@ def shortest_cycles(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return done if done is not None else groups.select("scan_id", "component", F.array("component").alias("chain")).limit(0)
 
 
-def levels(files: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
+def levels(files: DataFrame, edges: DataFrame, groups: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """``scan_id, path, level``: dependencies lie on lower levels than what depends on them; the files of a cycle group share one.
 
     Cycle groups are taken as one node; then all nodes without open dependencies are peeled off, level by level.
     """
+    graphs, large = small.by_size(edges, files.select("scan_id", F.col("path").alias("node")), task_edges)
+    near = small.solved(graphs, small.levels_of, "path string, level int")
+    if large is None:
+        return near
+    kept = lambda df: df.join(large, "scan_id", "left_semi")
+    return near.unionByName(_levels_by_rounds(kept(files), kept(edges), kept(groups)))
+
+
+def _levels_by_rounds(files: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
     at = files.select("scan_id", "path").join(groups.select("scan_id", F.col("node").alias("path"), "component"), ["scan_id", "path"], "left").select("scan_id", "path", F.coalesce("component", "path").alias("unit"))
     at = cut(at)
     rest = edges.join(at.select("scan_id", F.col("path").alias("src"), F.col("unit").alias("a")), ["scan_id", "src"]).join(at.select("scan_id", F.col("path").alias("dst"), F.col("unit").alias("b")), ["scan_id", "dst"])

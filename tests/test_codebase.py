@@ -248,3 +248,32 @@ def test_module_bands_are_runs(spark):
             want.append([n[0], i, 1])
         last = n[0]
     assert sorted([r.module, r.start, r.length] for r in graph.module_bands(order, fs).collect()) == sorted(want)
+
+
+LONG = "scan_id long, src string, dst string"
+
+
+def test_long_chain_and_large_ring(spark):
+    chain = spark.range(60_000).selectExpr("1L AS scan_id", "lpad(id, 6, '0') AS src", "lpad(id + 1, 6, '0') AS dst")
+    ring = spark.range(10_000).selectExpr("2L AS scan_id", "lpad(id, 6, '0') AS src", "lpad((id + 1) % 10000, 6, '0') AS dst")
+    es = chain.unionByName(ring)
+    seeds = spark.createDataFrame([(1, "059990"), (2, "000005")], "scan_id long, path string")
+    assert dict(graph.impact(es, seeds).groupBy("scan_id").count().collect()) == {1: 59_990, 2: 9_999}
+    fs = es.selectExpr("scan_id", "src AS path").union(es.selectExpr("scan_id", "dst")).distinct()
+    groups = groups_of(es)
+    assert groups.groupBy("scan_id", "component").count().collect() == [(2, "000000", 10_000)]
+    top = graph.levels(fs, es, groups).groupBy("scan_id").agg(F.max("level").alias("top")).collect()
+    assert {r.scan_id: r.top for r in top} == {1: 60_000, 2: 0}
+    assert [len(r.chain) for r in graph.shortest_cycles(es, groups).collect()] == [10_001]
+
+
+def test_graphs_too_large_for_a_task_agree(spark):
+    rng = random.Random(4)
+    rows = [(s, f"{rng.randrange(30):02}", f"{rng.randrange(30):02}") for s in (1, 2) for _ in range(45)]
+    es = spark.createDataFrame([r for r in set(rows) if r[1] != r[2]], LONG)
+    fs = es.selectExpr("scan_id", "src AS path").union(es.selectExpr("scan_id", "dst")).distinct()
+    groups = groups_of(es)
+    seeds = fs.selectExpr("scan_id", "path AS seed").where("seed < '05'")
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    for both in (lambda n: graph.reach(es, seeds, task_edges=n), lambda n: graph.impact(es, seeds.selectExpr("scan_id", "seed AS path"), task_edges=n), lambda n: graph.levels(fs, es, groups, task_edges=n).select("scan_id", "path", "level"), lambda n: graph.shortest_cycles(es, groups, task_edges=n).select("scan_id", "component", "chain")):
+        assert rows_of(both(0)) == rows_of(both(1000))
