@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 # File extensions of the seven languages, manifests, directories never walked, and asset extensions.
 LANGUAGES = {"ts": "TypeScript", "mts": "TypeScript", "cts": "TypeScript", "tsx": "TSX", "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "jsx": "JSX", "rs": "Rust", "py": "Python", "pyi": "Python", "go": "Go"}
-MANIFESTS = ["package.json", "tsconfig.json", "jsconfig.json", "Cargo.toml", "pyproject.toml", "setup.py", "setup.cfg", "go.mod", "go.work", ".gitignore"]
-SKIP_DIRS = [".git", "node_modules", "target", "dist", "build", "out", "vendor", "venv", ".venv", "__pycache__", ".next", ".nuxt", ".turbo", ".cache", ".idea", ".vscode", "coverage", ".tox", ".mypy_cache", ".pytest_cache", "bower_components", ".gradle", ".svelte-kit", "site-packages", ".yarn", ".parcel-cache"]
-ASSETS = ["css", "scss", "sass", "less", "styl", "svg", "png", "jpg", "jpeg", "gif", "webp", "avif", "ico", "bmp", "woff", "woff2", "ttf", "otf", "eot", "mp3", "mp4", "webm", "wav", "ogg", "pdf", "json", "json5", "yaml", "yml", "toml", "txt", "md", "mdx", "html", "xml", "csv", "wasm", "glsl", "vert", "frag", "graphql", "gql"]
+MANIFESTS = ["package.json", "Cargo.toml", "go.mod", "go.work", "jsconfig.json", "pnpm-workspace.yaml", "pyproject.toml", "setup.cfg"]
+SKIP_DIRS = [".git", ".hg", ".svn", "node_modules", "target", "dist", "build", "out", ".next", ".nuxt", ".turbo", ".svelte-kit", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".tox", "vendor", "Pods", ".gradle", ".idea", ".vscode", "coverage", ".cache"]
+ASSETS = "css scss sass less styl svg png jpg jpeg gif webp avif ico bmp json json5 yaml yml toml txt md mdx wasm woff woff2 ttf otf eot mp3 mp4 webm ogg wav glsl frag vert graphql gql html xml csv pdf".split()
 SEVERITIES = ["Info", "Low", "Medium", "High", "Critical"]
 #: Size cap of a source file in bytes, and the first bytes in which a NUL tells a binary.
 MAX_BYTES, SNIFFED = 2 * 1024 * 1024, 8192
 
 
+def is_manifest(name: Column) -> Column:
+    """Whether a file name is that of a project file."""
+    return name.isin(*MANIFESTS) | name.rlike(r"^tsconfig.*\.json$")
+
+
 def language_of(extension: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[extension]
 

@@ -134,6 +134,22 @@ def case_mismatches(files: DataFrame) -> DataFrame:
     return _finding(met, CASE, F.lit("High"), F.lit(0.86), F.format_string("%s imports \"%s\" but the file is %s", "src", "dst", "actual"), "src")
 
 
+def resolver_disagreements(disagreements: DataFrame) -> DataFrame:
+    """Imports that a language server takes elsewhere (``scan_id, src, line, server, specifier, dst``), both files known."""
+    known = disagreements.where("src is not null and dst is not null")
+    headline = F.format_string("%s:%d — %s resolves \"%s\" to %s", "src", "line", "server", "specifier", "dst")
+    return _finding(known, RESOLVER, F.lit("High"), F.lit(0.88), headline, "src", "dst")
+
+
+def path_aliases(audit: DataFrame) -> DataFrame:
+    """Aliases that lead nowhere, and ones that nothing uses (``scan_id, source, pattern, target, used_by, resolves``, see :func:`codestrata.operators.tour.alias_audit`); no file bears them."""
+    odd = audit.where("not resolves or used_by = 0")
+    broken = ~F.col("resolves")
+    headline = F.when(broken, F.format_string("%s maps \"%s\" to %s, which does not exist", "source", "pattern", F.coalesce("target", F.lit("nothing")))).otherwise(F.format_string("%s declares \"%s\" and nothing imports through it", "source", "pattern"))
+    told = odd.select("scan_id", F.lit(ALIAS).alias("kind"), F.when(broken, "High").otherwise("Info").alias("severity"), F.when(broken, 0.87).otherwise(0.2).cast("float").alias("score"), headline.alias("headline"))
+    return told.withColumn("paths", F.array().cast("array<string>"))
+
+
 def combine(found: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
@@ -204,8 +220,10 @@ def page(findings: DataFrame, kinds: list[str] | None = None, severity: str | No
     return ranked(kept).where((F.col("position") > skip) & (F.col("position") <= skip + take))
 
 
-def gate(findings: DataFrame, fail_on: str | None = None, fail_on_cycle: bool = False) -> bool:
-    """Whether a check passes: no finding as severe as ``fail_on``, and no cycle if that is asked."""
+def gate(findings: DataFrame, fail_on: str | None = None, fail_on_cycle: bool = False, unresolved: DataFrame | None = None, max_unresolved: int | None = None) -> bool:
+    """Whether a check passes: no finding as severe as ``fail_on``, no cycle if that is asked, no more than ``max_unresolved`` rows of ``unresolved``."""
+    if max_unresolved is not None and unresolved is not None and unresolved.limit(max_unresolved + 1).count() > max_unresolved:
+        return False
     bad = F.lit(False)
     if fail_on is not None:
         bad = bad | (T.severity_rank(F.col("severity")) >= T.SEVERITIES.index(fail_on) + 1)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.operators.graph import degrees
+from codestrata.operators.graph import degrees, reach
 from codestrata.operators.running import running
 from codestrata.session import cut
 
@@ -18,7 +18,8 @@ def tour(files: DataFrame, edges: DataFrame, entries: DataFrame, history: DataFr
     A file's worth is 3 for each uncovered file that depends on it, plus the root of its lines, plus 1.5 times the root
     of its commits; ties go to the least path. A stop covers the file and what it imports. All scans take their next
     stop in the same round, so there are at most ``max_stops`` rounds. Scans left with fewer than three stops are filled
-    up by lines times one more than the dependents; ``unlocks`` of entry points and fillers is the number of dependents.
+    up by lines times one more than the dependents. ``unlocks`` of entry points is the number of files that they reach, of
+    fillers that of their dependents.
     """
     name = F.substring_index("path", "/", -1)
     rank = F.when(name.isin("main.rs", "main.ts", "main.tsx"), 0).when(name.isin("App.tsx", "app.tsx"), 1).when(name == "lib.rs", 2).otherwise(3)
@@ -27,7 +28,9 @@ def tour(files: DataFrame, edges: DataFrame, entries: DataFrame, history: DataFr
     edges = cut(edges.select("scan_id", "src", "dst"))
     order = Window.partitionBy("scan_id").orderBy(rank, F.desc("loc"), "path")
     first = known.join(entries, ["scan_id", "path"], "left_semi").withColumn("stop", F.row_number().over(order)).where("stop <= 2 and loc >= 2")
-    stops = [cut(first.select("scan_id", "stop", "path", F.col("fan_in").alias("unlocks")))]
+    begin = cut(first.select("scan_id", "stop", "path"))
+    opened = reach(edges, begin.select("scan_id", F.col("path").alias("seed"))).groupBy("scan_id", F.col("seed").alias("path")).agg(F.count("*").alias("unlocks"))
+    stops = [cut(begin.join(opened, ["scan_id", "path"], "left").select("scan_id", "stop", "path", F.coalesce("unlocks", F.lit(0)).alias("unlocks")))]
     covered = [stops[0].select("scan_id", "path"), edges.join(stops[0].select("scan_id", F.col("path").alias("src")), ["scan_id", "src"], "left_semi").select("scan_id", F.col("dst").alias("path"))]
     for turn in range(max_stops):
         seen = reduce(DataFrame.unionByName, covered).distinct()
@@ -81,13 +84,20 @@ def repair(unresolved: DataFrame, edges: DataFrame, answers: DataFrame) -> tuple
 
 
 def alias_audit(aliases: DataFrame, specifiers: DataFrame, paths: DataFrame) -> DataFrame:
-    """``scan_id, pattern, used_by, resolves`` of path aliases (``scan_id, pattern, target``; one ``*`` each): how many imports use one, and whether its target exists.
+    """``scan_id, source, pattern, target, used_by, resolves`` of path aliases (:func:`codestrata.operators.projects.path_aliases`): how many different imports use one, and whether a target exists.
 
-    Aliases are few per project, so every specifier is held against its own project's patterns only.
+    ``specifiers`` has ``scan_id, specifier``. An alias is met by the prefixes of a specifier, by an equal join; a target
+    exists when its part before ``*`` is a file (with or without an ending) or a folder of ``paths``.
     """
-    prefix = F.substring_index("pattern", "*", 1)
-    used = specifiers.select("scan_id", "specifier").join(aliases.select("scan_id", "pattern"), "scan_id").where(F.startswith("specifier", prefix)).groupBy("scan_id", "pattern").agg(F.count("*").alias("used_by"))
-    stem = F.regexp_replace(F.substring_index("target", "*", 1), "/$", "")
-    dirs = paths.select("scan_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.concat_ws("/", F.slice(F.split("path", "/"), 1, n)))).alias("stem")).distinct().withColumn("there", F.lit(True))
-    told = aliases.withColumn("stem", stem).join(used, ["scan_id", "pattern"], "left").join(dirs, ["scan_id", "stem"], "left")
-    return told.groupBy("scan_id", "pattern").agg(F.max(F.coalesce("used_by", F.lit(0))).alias("used_by"), F.bool_or(F.coalesce("there", F.lit(False)) | (F.col("stem") == "")).alias("resolves"))
+    cuts = F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda n: F.substr("specifier", F.lit(1), n))
+    asked = specifiers.select("scan_id", "specifier").distinct().select("scan_id", "specifier", F.explode(cuts).alias("prefix"))
+    fits = F.when(F.col("wild"), F.endswith("specifier", F.col("suffix")) & (F.length("prefix") + F.length("suffix") <= F.length("specifier"))).otherwise(F.col("prefix") == F.col("specifier"))
+    key = ["scan_id", "source", "pattern"]
+    used = asked.join(aliases, ["scan_id", "prefix"]).where(fits).groupBy(*key).agg(F.count_distinct("specifier").alias("used_by"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
+    there = paths.select("scan_id", F.explode(F.array_distinct(F.concat(above, F.array(F.regexp_replace("path", r"\.[^./]+$", ""), F.lit(""))))).alias("stem")).distinct().withColumn("there", F.lit(True))
+    stems = aliases.select(*key, F.explode("targets").alias("t")).select(*key, F.regexp_replace(F.substring_index("t", "*", 1), "/$", "").alias("stem"))
+    found = stems.join(there, ["scan_id", "stem"], "left").groupBy(*key).agg(F.bool_or(F.coalesce("there", F.lit(False))).alias("resolves"))
+    told = aliases.select(*key, F.get("targets", F.lit(0)).alias("target")).join(found, key).join(used, key, "left")
+    return told.select(*key, "target", F.coalesce("used_by", F.lit(0)).alias("used_by"), "resolves")

@@ -47,7 +47,7 @@ def language_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("scan_id", "language").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
 
 
-def walk_outcome(source_files: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:
+def walk_outcome(source_files: DataFrame, include: str | None = None, exclude: str | None = None, max_bytes: int = T.MAX_BYTES) -> DataFrame:
     """``file_id, path, outcome``: what a walk makes of each file: skipped directory, manifest, no source, not included, excluded, too large, binary, or source.
 
     ``include`` and ``exclude`` are regular expressions over the path (see :func:`codestrata.functions.globs.glob_regex`).
@@ -57,7 +57,7 @@ def walk_outcome(source_files: DataFrame, include: str | None = None, exclude: s
     path = plain_path(F.col("rel_path"))
     in_skipped = F.exists(F.split(parent_dir(path), "/"), lambda d: d.isin(*T.SKIP_DIRS))
     outcome = (
-        F.when(in_skipped, "SkippedDir").when(file_name(path).isin(*T.MANIFESTS), "Manifest").when(T.language_of(extension(path)).isNull(), "NoSource")
+        F.when(in_skipped, "SkippedDir").when(T.is_manifest(file_name(path)), "Manifest").when(T.language_of(extension(path)).isNull(), "NoSource")
         .when(F.lit(False) if include is None else ~path.rlike(include), "NotIncluded").when(F.lit(False) if exclude is None else path.rlike(exclude), "Excluded")
-        .when(F.coalesce("bytes", F.length("content"), F.lit(0)) > T.MAX_BYTES, "TooLarge").when(F.coalesce(T.looks_binary(F.col("content")), F.lit(False)), "Binary").otherwise("Source"))
+        .when(F.coalesce("bytes", F.length("content"), F.lit(0)) > max_bytes, "TooLarge").when(F.coalesce(T.looks_binary(F.col("content")), F.lit(False)), "Binary").otherwise("Source"))
     return source_files.where("rel_path is not null").select("file_id", path.alias("path"), outcome.alias("outcome"))

@@ -76,8 +76,8 @@ class Scans:
     @functools.cached_property
     def findings(self):
         """Every detector over every scan."""
-        past = stage(self.history)
-        fan = stage(self.fan)
+        self.__dict__["edges"], self.__dict__["clean"] = stage(self.edges), stage(self.clean)
+        past, fan = stage(self.history), stage(self.fan)
         return fd.combine([
             fd.case_mismatches(self.files), fd.cycles(self.groups, graph.shortest_cycles(self.edges, self.groups)), fd.god_files(self.files, fan, past),
             fd.orphan_files(self.files, graph.orphans(self.files, self.edges, self.entries)), fd.unstable_interfaces(self.files, fan, past),
@@ -135,7 +135,8 @@ def q_impact(s):
 
 
 def q_dependencies_of(s):
-    return graph.reach(stage(s.edges), s.files.select("scan_id", F.col("path").alias("seed"))).select("scan_id", "seed", "path")
+    top = s.fan.groupBy("scan_id").agg(F.min_by("path", F.struct(-F.col("fan_out"), "path")).alias("seed"))
+    return graph.reach(stage(s.edges), stage(top)).select("scan_id", "seed", "path")
 
 
 def q_orphans(s):
@@ -273,7 +274,7 @@ def q_asof_snapshot(s):
 
 
 def q_walk_outcome(s):
-    return tree.walk_outcome(s.table("source_files"), exclude=any_glob(["**/*_pb2.py", "static/**"]))
+    return tree.walk_outcome(s.table("source_files"), any_glob(["*/**", "s*"]), any_glob(["**/*_pb2.py", "static/**", "tools/**"]), max_bytes=4096)
 
 
 def q_skipped_reasons(s):
@@ -282,7 +283,7 @@ def q_skipped_reasons(s):
 
 def q_loc_count(s):
     src = spread(s.table("source_files").where("content is not null").select("file_id", "rel_path", "content"))
-    body = F.decode("content", "UTF-8")
+    body = F.make_valid_utf8(F.col("content").cast("string"))
     return src.select("file_id", T.loc(body, T.language_of(extension(plain_path(F.col("rel_path"))))).alias("loc"), T.total_lines(body).alias("total_lines"))
 
 
@@ -392,7 +393,7 @@ SQL = {
     "tangle_members": f"WITH RECURSIVE {TREE_SQL}, {REACH_SQL} SELECT scan_id, node, component, size FROM member",
     "shortest_cycle": f"WITH RECURSIVE {TREE_SQL}, {REACH_SQL}, {CHAIN_SQL} SELECT scan_id, component, array_to_string(path, ' > ') AS chain FROM chain",
     "impact": f"WITH RECURSIVE {TREE_SQL}, seed AS (SELECT scan_id, path FROM fan QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY fan_in DESC, path) = 1), back(scan_id, path) AS (SELECT scan_id, path FROM seed UNION SELECT e.scan_id, e.src FROM back b JOIN e ON e.scan_id = b.scan_id AND e.dst = b.path) SELECT * FROM back WHERE (scan_id, path) NOT IN (SELECT (scan_id, path) FROM seed)",
-    "dependencies_of": f"WITH RECURSIVE {TREE_SQL}, {REACH_SQL} SELECT scan_id, a AS seed, b AS path FROM reach WHERE a <> b",
+    "dependencies_of": f"WITH RECURSIVE {TREE_SQL}, {REACH_SQL}, seed AS (SELECT scan_id, path FROM fan QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY fan_out DESC, path) = 1) SELECT scan_id, a AS seed, b AS path FROM reach WHERE a <> b AND (scan_id, a) IN (SELECT (scan_id, path) FROM seed)",
     "orphans": _tree(f"SELECT scan_id, path FROM t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.scan_id = t.scan_id AND e.dst = t.path) AND NOT {ENTRY}"),
     "file_history": _hist("SELECT scan_id, path, commits, first_touched, last_touched, authors, top_author, round(CAST(top_author_share AS DOUBLE), 6) AS top_author_share FROM hist"),
     "repo_history": _hist("SELECT scan_id, count(*) AS total_commits, CAST(sum((len(files) > 0)::INT) AS BIGINT) AS with_files, max(commit_time) AS head_time FROM clean GROUP BY 1"),

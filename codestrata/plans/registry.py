@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codestrata.plans import codebase, reports, snapshots, sources
+from codestrata.plans import codebase, details, reports, snapshots, sources
 
-MODULES = [snapshots, codebase, sources, reports]
+MODULES = [snapshots, codebase, sources, reports, details]
 
 
 def queries() -> dict:

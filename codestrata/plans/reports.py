@@ -39,7 +39,7 @@ def workspace_files(spark, d):
 
 
 def change_bursts(spark, d):
-    found = changes.bursts(table(spark, d, "source_files"), "scan_id", "walked_at", "rel_path", gap="30 days")
+    found = changes.bursts(table(spark, d, "source_files"), "scan_id", "walked_at", "rel_path", gap="10 minutes")
     return found.select("scan_id", F.size("paths").alias("paths"), "started")
 
 

@@ -60,7 +60,7 @@ def scan_tree(spark: SparkSession, root: str, include: list[str] | None = None,
     paths = list_paths(root)
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
     kind = (
-        F.when(file_name(F.col("path")).isin(*T.MANIFESTS), "Manifest").when(T.language_of(extension(F.col("path"))).isNull(), "NoSource")
+        F.when(T.is_manifest(file_name(F.col("path"))), "Manifest").when(T.language_of(extension(F.col("path"))).isNull(), "NoSource")
         .when(~F.col("path").rlike(any_glob(include)) if include else F.lit(False), "NotIncluded").when(F.col("path").rlike(any_glob(exclude)) if exclude else F.lit(False), "Excluded").otherwise("Source"))
     told = rows.withColumn("kind", kind)
     wanted = told.where("kind in ('Source', 'Manifest')").select("path")

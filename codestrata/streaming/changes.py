@@ -20,7 +20,7 @@ def is_interesting(path: Column) -> Column:
     name = file_name(path)
     skipped = F.exists(F.split(path, "/"), lambda d: d.isin(*T.SKIP_DIRS))
     scratch = name.rlike(r"~$|^\.#|\.tmp$")
-    return ~skipped & ~scratch & (name.isin(*T.MANIFESTS) | T.language_of(extension(path)).isNotNull())
+    return ~skipped & ~scratch & (T.is_manifest(name) | T.language_of(extension(path)).isNotNull())
 
 
 def bursts(changes: DataFrame, key: str, at: str, path: str, gap: str = "400 milliseconds", late: str = "10 minutes") -> DataFrame:

@@ -229,8 +229,13 @@ def test_exports_and_tour(spark):
     assert stops[:2] == ["m/main.ts", "n/c.ts"]
     links = tour.workspace_links(spark.createDataFrame([(2, "app.ts", "@acme/ui"), (2, "app.ts", "x")], "scan_id long, src string, package string"), spark.createDataFrame([(1, "@acme/ui"), (1, "x"), (3, "x")], "scan_id long, package string"), fs, es)
     assert [(r.src, r.dst) for r in links.collect()] == [("app.ts", "n/c.ts")]
-    audit = tour.alias_audit(spark.createDataFrame([(1, "@/*", "m/*"), (1, "~/*", "gone/*")], "scan_id long, pattern string, target string"), spark.createDataFrame([(1, "@/b")], "scan_id long, specifier string"), fs)
-    assert {(r.pattern, r.used_by, r.resolves) for r in audit.collect()} == {("@/*", 1, True), ("~/*", 0, False)}
+    aliases = spark.createDataFrame([(1, "tsconfig.json", "@/*", 0, "@/", "", True, ["m/*"]), (1, "tsconfig.json", "~/*", 1, "~/", "", True, ["gone/*"]), (1, "tsconfig.json", "#b", 2, "#b", "", False, ["m/b.ts"])], "scan_id long, source string, pattern string, pos int, prefix string, suffix string, wild boolean, targets array<string>")
+    audit = tour.alias_audit(aliases, spark.createDataFrame([(1, "@/b"), (1, "@/b"), (1, "#bc")], "scan_id long, specifier string"), fs)
+    assert {(r.pattern, r.used_by, r.resolves) for r in audit.collect()} == {("@/*", 1, True), ("~/*", 0, False), ("#b", 0, True)}
+    assert {(r.headline, r.severity) for r in findings.path_aliases(audit).collect()} == {('tsconfig.json maps "~/*" to gone/*, which does not exist', "High"), ('tsconfig.json declares "#b" and nothing imports through it', "Info")}
+    said = spark.createDataFrame([(1, "a.ts", 3, "tsserver", "./x", "b.ts"), (1, "a.ts", 4, "tsserver", "./y", None)], "scan_id long, src string, line int, server string, specifier string, dst string")
+    assert [(r.headline, r.paths) for r in findings.resolver_disagreements(said).collect()] == [('a.ts:3 — tsserver resolves "./x" to b.ts', ["a.ts", "b.ts"])]
+    assert not findings.gate(found, unresolved=fs, max_unresolved=3) and findings.gate(found, unresolved=fs, max_unresolved=4)
     fixed, odd = tour.repair(spark.createDataFrame([(1, "a", "./x")], "scan_id long, src string, specifier string"), es, spark.createDataFrame([(1, "a", "./x", "b"), (1, "a", "./y", "c"), (1, "a", "./z", "a")], "scan_id long, src string, specifier string, dst string"))
     assert [r.dst for r in fixed.collect()] == ["b"] and [r.dst for r in odd.collect()] == ["c"]
 

@@ -52,7 +52,7 @@ def test_tree(spark, repo, tmp_path):
         (repo / path).parent.mkdir(parents=True, exist_ok=True)
         (repo / path).write_bytes(data)
     out = {r.path: (r.outcome, r.content is not None) for r in tree.scan_tree(spark, str(repo), exclude=["**/*.test.ts"], cap=40).collect()}
-    assert out == {"hot.ts": ("Source", True), "cold.ts": ("Source", True), "side.txt": ("NoSource", False), "src/__init__.py": ("Source", True), "src/b.ts": ("Binary", False), "src/big.js": ("TooLarge", False), "src/a.test.ts": ("Excluded", False), "package.json": ("Manifest", True), ".gitignore": ("Manifest", True)}
+    assert out == {"hot.ts": ("Source", True), "cold.ts": ("Source", True), "side.txt": ("NoSource", False), "src/__init__.py": ("Source", True), "src/b.ts": ("Binary", False), "src/big.js": ("TooLarge", False), "src/a.test.ts": ("Excluded", False), "package.json": ("Manifest", True), ".gitignore": ("NoSource", False)}
     plain = tmp_path / "plain"
     (plain / "dist").mkdir(parents=True)
     (plain / "a.py").write_text("x")
