@@ -79,10 +79,10 @@ def unstable_interfaces(files: DataFrame, fan: DataFrame, history: DataFrame) ->
     return _finding(scored, UNSTABLE, T.severity_for(F.col("score")), F.col("score"), headline, "path")
 
 
-def bus_factors(files: DataFrame, fan: DataFrame, history: DataFrame) -> DataFrame:
-    """Files of one author with five or more commits and dependents, in scans with two or more top authors."""
+def bus_factors(files: DataFrame, fan: DataFrame, history: DataFrame, min_commits: int = 5, min_dependents: int = 5) -> DataFrame:
+    """Files of one author with ``min_commits`` and ``min_dependents`` or more, in scans with two or more top authors."""
     several = history.where("top_author is not null").groupBy("scan_id").agg(F.count_distinct("top_author").alias("n")).where("n >= 2").select("scan_id")
-    sole = history.where("authors = 1 and commits >= 5").join(several, "scan_id", "left_semi").join(fan.select("scan_id", "path", "fan_in"), ["scan_id", "path"]).where("fan_in >= 5").join(files.select("scan_id", "path"), ["scan_id", "path"], "left_semi")
+    sole = history.where((F.col("authors") == 1) & (F.col("commits") >= min_commits)).join(several, "scan_id", "left_semi").join(fan.select("scan_id", "path", "fan_in"), ["scan_id", "path"]).where(F.col("fan_in") >= min_dependents).join(files.select("scan_id", "path"), ["scan_id", "path"], "left_semi")
     score = F.least(F.least((F.col("fan_in").cast("float") / _f(20)), F.lit(1.0)) * 0.5 + 0.4, F.lit(1.0))
     headline = F.format_string("%s has %d dependents and one author (%s)", "path", "fan_in", "top_author")
     return _finding(sole, BUS, F.lit("Medium"), score, headline, "path")

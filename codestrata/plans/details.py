@@ -50,6 +50,18 @@ def layering_changes(s):
     return op.headline_changes(base, head)
 
 
+def bus_factor_from_two(s):
+    """The bus factor detector from two commits and one dependent on."""
+    found = fd.bus_factors(s.files, s.fan, s.history, min_commits=2, min_dependents=1)
+    return found.withColumn("score", F.round(F.col("score").cast("double"), 6)).withColumn("paths", F.concat_ws(",", "paths"))
+
+
+def names_in_any_case(s):
+    """Files of the last trees whose paths differ in letter case only between scans of one repository, and how often each is so."""
+    spelled = s.files.join(s.table("repo_info").select("scan_id", "repo"), "scan_id").groupBy("repo", F.lower("path").alias("key")).agg(F.count_distinct("path").alias("spellings"), F.count("*").alias("files"))
+    return spelled.where("files > 1").groupBy("spellings").agg(F.count("*").alias("paths"), F.sum("files").alias("files"))
+
+
 def finding_sections(s):
     return op.finding_markdown(s.findings)
 
@@ -62,7 +74,7 @@ def _query(call):
     return lambda spark, d: call(Scans(spark, d))
 
 
-QUERIES = {c.__name__: _query(c) for c in (node_neighbours, node_detail, file_lookup, palette_search, view_filter, view_orphans, layering_changes, finding_sections, severity_counts)}
+QUERIES = {c.__name__: _query(c) for c in (node_neighbours, node_detail, file_lookup, palette_search, view_filter, view_orphans, layering_changes, bus_factor_from_two, names_in_any_case, finding_sections, severity_counts)}
 
 TOP_SQL = "top AS (SELECT scan_id, path FROM fan QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY fan_in DESC, path) = 1)"
 UNITS_SQL = """unit AS (SELECT t.scan_id, t.path, coalesce(m.component, t.path) AS unit FROM t LEFT JOIN member m ON m.scan_id = t.scan_id AND m.node = t.path),
@@ -96,6 +108,10 @@ SQL = {
     "layering_changes": f"""WITH {ENDS_SQL}, lay AS (SELECT *, {LAYER_SQL.format('src')} AS la, {LAYER_SQL.format('dst')} AS lb FROM be),
       v AS (SELECT side, scan_id, la || ' → ' || lb || ': ' || src || ' imports ' || dst AS headline FROM lay WHERE la IS NOT NULL AND lb IS NOT NULL AND la <> lb AND (la, lb) NOT IN (('ui', 'domain'), ('domain', 'data')))
       SELECT scan_id, headline, 'High' AS severity, CASE side WHEN 'new' THEN 'new' ELSE 'fixed' END AS change FROM v WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.side <> v.side AND w.scan_id = v.scan_id AND w.headline = v.headline)""",
+    "bus_factor_from_two": f"""WITH {TREE_SQL}, {CLEAN_SQL} SELECT scan_id, kind, severity, round(CAST(score AS DOUBLE), 6) AS score, headline, paths FROM (
+      SELECT h.scan_id, 'Bus factor' AS kind, 'Medium' AS severity, CAST(least(least(CAST(fan_in AS FLOAT) / CAST(20 AS FLOAT), 1.0) * 0.5 + 0.4, 1.0) AS FLOAT) AS score, path || ' has ' || fan_in || ' dependents and one author (' || top_author || ')' AS headline, path AS paths
+      FROM hist h JOIN fan USING (scan_id, path) WHERE authors = 1 AND h.commits >= 2 AND fan_in >= 1 AND h.scan_id IN (SELECT scan_id FROM hist WHERE top_author IS NOT NULL GROUP BY 1 HAVING count(DISTINCT top_author) >= 2))""",
+    "names_in_any_case": f"WITH {TREE_SQL} SELECT spellings, count(*) AS paths, CAST(sum(files) AS BIGINT) AS files FROM (SELECT repo, lower(path) AS key, count(DISTINCT path) AS spellings, count(*) AS files FROM t JOIN repo_info USING (scan_id) GROUP BY ALL HAVING count(*) > 1) GROUP BY 1",
     "finding_sections": f"""{ALL_SQL} SELECT scan_id, headline, '### ' || headline || chr(10) || chr(10) || '**' || kind || '** · ' || severity || CASE WHEN paths = '' THEN '' ELSE chr(10) || chr(10) || array_to_string(list_transform(string_split(paths, ','), lambda p: '- `' || p || '`'), chr(10)) END || chr(10) AS text FROM rated""",
     "severity_counts": f"{ALL_SQL} SELECT scan_id, severity, sev AS rank, count(*) AS n FROM rated GROUP BY ALL",
     "dependency_levels": f"WITH RECURSIVE {TREE_SQL}, {REACH_SQL}, {UNITS_SQL} SELECT scan_id, path, level FROM lev",
