@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from codestrata.llm import byte_bpe, cooccurrence, mixing, names, provenance, residue, syntax
 from codestrata.tables import table
 
@@ -58,7 +60,13 @@ def p5_found(spark, d):
 
 
 def p5_reasons(spark, d):
-    return provenance.machine_files(table(spark, d, "source_files"), table(spark, d, "skipped_files"))
+    return provenance.machine_files(table(spark, d, "source_files"), table(spark, d, "skipped_files")).select("file_id", "reason")
+
+
+def p5_parts(spark, d):
+    """How many files each part of the operator tells."""
+    told = provenance.machine_files(table(spark, d, "source_files"), table(spark, d, "skipped_files"))
+    return told.groupBy("part", "reason").agg(F.count("*").alias("files"))
 
 
 def p8_found(spark, d):
@@ -70,7 +78,7 @@ def p8_reasons(spark, d):
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_reasons": p5_reasons, "p8_found": p8_found, "p8_reasons": p8_reasons, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_surprising": p3_surprising, "p3_counts": p3_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_reasons": p5_reasons, "p5_parts": p5_parts, "p8_found": p8_found, "p8_reasons": p8_reasons, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_surprising": p3_surprising, "p3_counts": p3_counts, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 PLAIN = r"regexp_replace(regexp_replace(replace(x, '\', '/'), '/+', '/', 'g'), '^(\./)+', '')"

@@ -63,16 +63,15 @@ zz_generated.* generated
 
 # What tools and copiers write into comments, in lower case.
 GENERATED = re.compile(r"code generated (?:by|from)\b.*do not edit|^[\s/*#<!-]*@generated\b|<auto-?generated ?/?>|^[\s/*#-]*(?:this (?:file|code|module) (?:is|was|has been) )?(?:auto-?(?:matically )?generated|automatically (?:generated|created|produced))\b"
-                       r"|^[\s/*#-]*generated (?:by|from|with)\b|^[\s/*#-]*machine output of|wrote this file; edits are lost|(?:manual )?changes will be overwritten|automatisch (?:erzeugt|generiert)|nicht von hand bearbeiten|fichier (?:produit|généré|créé) (?:par|automatiquement)|ne pas modifier|archivo generado|no (?:editar|modificar)\b|arquivo gerado|não (?:editar|modificar)\b|généré automatiquement|generado automáticamente|gerado automaticamente|自动生成|自動生成|^[\s/*#-]*generator: \S+$")
-VENDORED = re.compile(r"bundled copy of|imported from upstream|upstream fixes belong|vendored (?:from|copy)|copied (?:verbatim )?from|^[\s/*#!-]*\S+ v?\d+\.\d+(?:\.\d+)?\S* --? \(c\)|\(c\) (?:\d{4}(?:-\d{4})? )?the (\S+) authors|distributed under the \S+ licen[cs]e")
-_OWNER = re.compile(r"(?:licenseref-|copyright \(c\) (?:\d{4}(?:-\d{4})? )?(?:the )?)(\w+)(?: contributors|\s*$)", re.M)
+                       r"|^[\s/*#-]*generated (?:by|from|with)\b|^[\s/*#-]*(?:machine|tool|program) output (?:of|from)\b|(?:manual |hand )?(?:edits|changes) (?:are|will be) (?:lost|overwritten|discarded)\b|automatisch (?:erzeugt|generiert)|nicht von hand bearbeiten|fichier (?:produit|généré|créé) (?:par|automatiquement)|ne pas modifier|archivo generado|no (?:editar|modificar)\b|arquivo gerado|não (?:editar|modificar)\b|généré automatiquement|generado automáticamente|gerado automaticamente|自动生成|自動生成|^[\s/*#-]*generator: \S+$")
+VENDORED = re.compile(r"bundled copy of|imported from upstream|(?:send|report|make|upstream) (?:fixes|changes|patches) (?:belong )?(?:upstream|there)\b|upstream fixes belong|vendored (?:from|copy)|copied (?:verbatim )?from|^[\s/*#!-]*\S+ v?\d+\.\d+(?:\.\d+)?\S* --? \(c\)|\(c\) (?:\d{4}(?:-\d{4})? )?the (\S+) authors|distributed under the \S+ licen[cs]e")
 
 _C = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>r(?P<h>\#*)"(?:.*?)"(?P=h)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)'|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<number>\b\d[\w.]*)|(?P<word>[A-Za-z_$]\w*)""", re.S)
 _RUST = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>r(?P<h>\#*)"(?:.*?)"(?P=h)|b?"(?:[^"\\]|\\.)*"|b?'(?:[^'\\\n]|\\.)')|(?P<number>\b\d[\w.]*)|(?P<word>[A-Za-z_$]\w*)""", re.S)
 _PY = re.compile(r'''(?P<comment>\#[^\n]*)|(?P<string>"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<number>\b\d[\w.]*)|(?P<word>[A-Za-z_$]\w*)''', re.S)
 
 
-def traits(path: str, raw: bytes, owner: str) -> tuple[bool, bool, bool, bool, str]:
+def traits(path: str, raw: bytes) -> tuple[bool, bool, bool, bool, str]:
     """``generated, vendored, minified, data`` by content, and a hash of the code without its comments and blanks."""
     text = raw.decode(errors="replace").replace("﻿", "").replace("\r\n", "\n")
     scan = _PY if path.endswith((".py", ".pyi")) else _RUST if path.endswith(".rs") else _C
@@ -115,7 +114,7 @@ NO_CODE = xxhash.xxh128_hexdigest("")
 @frame_stage
 def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        got = [traits(p, bytes(c), (r or "").split("/")[0]) for p, c, r in zip(pdf["path"], pdf["content"], pdf["repo"])]
+        got = [traits(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"])]
         yield pd.concat([pdf[["file_id", "repo", "path"]].reset_index(drop=True), pd.DataFrame(got, columns=["generated", "vendored", "minified", "data", "body"])], axis=1)
 
 
@@ -152,7 +151,10 @@ def declared_marks(files: DataFrame) -> DataFrame:
     rules = attribute_rules(files)
     below = files.select("file_id", "repo", "scan_id", "path", F.explode(path_prefixes(F.col("path"))).alias("dir"))
     rest = F.when(F.col("dir") == "", F.col("path")).otherwise(F.substr("path", F.length("dir") + 2))
-    hits = below.join(rules, ["repo", "scan_id", "dir"]).where(F.regexp_like(rest, F.col("regex")))
+    # the lines of one attribute file stay one row, so a directory of many files meets one row, not one for each line
+    listed = rules.groupBy("repo", "scan_id", "dir", "depth").agg(F.collect_list(F.struct("line_no", "regex", "kind", "off")).alias("lines"))
+    met = below.join(listed, ["repo", "scan_id", "dir"]).withColumn("rest", rest)
+    hits = met.select("file_id", "depth", F.explode(F.filter("lines", lambda r: F.regexp_like("rest", r["regex"]))).alias("r")).select("file_id", "depth", "r.line_no", "r.kind", "r.off")
     return hits.groupBy("file_id", "kind").agg(F.max_by("off", F.struct("depth", "line_no")).alias("off"))
 
 
@@ -196,12 +198,12 @@ def mined_shapes(looked: DataFrame, min_files: int = 12, min_repos: int = 4, min
 
 
 def machine_files(source_files: DataFrame, skipped_files: DataFrame) -> DataFrame:
-    """``file_id, reason`` of files not written by hand: generated, vendored, minified or data.
+    """``file_id, reason, part`` of files not written by hand: generated, vendored, minified or data, and which part told.
 
-    In this order: an attribute file's mark for the path decides, either way; then the conventions, which stand for
-    attribute files where none governs the path; then content: comments of tools and copiers, the shape of minified code, and code that is all
-    literals; then, where no attribute file governs, path patterns mined from the corpus, whose files are nearly all
-    declared or marked. An attribute file with such marks governs what is below its directory. Code whose text without comments equals that of a vendored file is a copy of it. Skipped files are judged
+    In this order: an attribute file's mark for the path decides, either way; then content: comments of tools and
+    copiers, the shape of minified code, and code that is all literals; then, where no attribute file governs the path,
+    path patterns mined from the corpus, whose files are nearly all declared or marked by content; last the conventions,
+    which stand for attribute files where there are none and the corpus shows no pattern. An attribute file with such marks governs what is below its directory. Code whose text without comments equals that of a vendored file is a copy of it. Skipped files are judged
     by path and reason; too large and binary ones are data. Null content leaves the path; null paths and ids give
     nothing; repeated rows count once; empty tables give no rows; content of any length is read whole.
     """
@@ -216,15 +218,18 @@ def machine_files(source_files: DataFrame, skipped_files: DataFrame) -> DataFram
     declared = stage(declared_marks(walked).groupBy("file_id").agg(F.max(F.when(~F.col("off"), F.col("kind"))).alias("declared"), F.bool_and("off").alias("kept")))
     governed = stage(governed_files(walked, paths))
     known_marks = looked.join(declared, "file_id", "left").join(governed, "file_id", "left").withColumn("convention", F.when(F.col("governed").isNull(), F.col("convention")))
-    own = F.coalesce(F.col("declared").isNotNull() | F.col("by_content").isNotNull() | F.col("convention").isNotNull(), F.lit(False)) & ~(F.col("declared").isNull() & F.coalesce("kept", F.lit(False)))
+    own = F.coalesce(F.col("declared").isNotNull() | F.col("by_content").isNotNull(), F.lit(False)) & ~(F.col("declared").isNull() & F.coalesce("kept", F.lit(False)))
     marked = known_marks.withColumn("by_content", by_content).withColumn("marked", own)
     originals = marked.where("vendored or convention = 'vendored' or declared = 'vendored'").where(F.col("body") != NO_CODE).select("body").distinct().withColumn("copied", F.lit(True))
     known = mined_shapes(marked)
     mined = paths.select("file_id", F.explode(path_shapes(F.col("path"))).alias("shape")).join(known, "shape", "left_semi").select("file_id").distinct().withColumn("mined", F.lit(True))
     content = marked.join(originals, "body", "left").select("file_id", "by_content", "copied")
     joined = paths.join(declared, "file_id", "left").join(governed, "file_id", "left").join(content, "file_id", "left").join(mined, "file_id", "left")
-    reason = F.coalesce(
-        F.col("declared"), F.when(F.col("kept"), F.lit("hand")), F.when(F.col("tag").isin("TooLarge", "Binary"), F.lit("data")), F.when(F.col("governed").isNull(), convention_mark(F.col("path"))),
-        F.col("by_content"), F.when(F.col("copied"), F.lit("vendored")), F.when(F.col("mined") & F.col("governed").isNull(), F.lit("generated")))
-    told = joined.withColumn("reason", reason).where("reason is not null and reason <> 'hand'")
-    return told.groupBy("file_id").agg(F.min("reason").alias("reason"))
+    free = F.col("governed").isNull()
+    by_part = {
+        "declared": F.col("declared"), "kept": F.when(F.col("kept"), F.lit("hand")), "skipped": F.when(F.col("tag").isin("TooLarge", "Binary"), F.lit("data")), "content": F.col("by_content"),
+        "copied": F.when(F.col("copied"), F.lit("vendored")), "mined": F.when(F.col("mined") & free, F.lit("generated")), "convention": F.when(free, convention_mark(F.col("path")))}
+    reason = F.coalesce(*by_part.values())
+    part = F.coalesce(*[F.when(c.isNotNull(), F.lit(name)) for name, c in by_part.items()])
+    told = joined.withColumn("reason", reason).withColumn("part", part).where("reason is not null and reason <> 'hand'")
+    return told.groupBy("file_id").agg(F.min("reason").alias("reason"), F.min("part").alias("part"))

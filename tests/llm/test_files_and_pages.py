@@ -26,8 +26,8 @@ def test_reasons(spark):
 
 def test_marks_of_copies_count_anywhere():
     late = "".join(f"# step {i} of the walk\nx{i} = {i}\n" for i in range(200)) + "# Vendored from lens 1.2\n" + HAND
-    assert provenance.traits("a.py", late.encode(), "o")[1]
-    assert not provenance.traits("a.py", late.replace("Vendored from", "A kind of").encode(), "o")[1]
+    assert provenance.traits("a.py", late.encode())[1]
+    assert not provenance.traits("a.py", late.replace("Vendored from", "A kind of").encode())[1]
 
 
 def test_patterns_are_mined_from_declared_repositories(spark):
