@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import text as T
 from codestrata.functions.globs import any_glob
 from codestrata.functions.paths import extension, file_name
-from codestrata.session import frame_stage
+from codestrata.session import delete_folder, folders, frame_stage
 from codestrata.tables import importable
 
 
@@ -76,14 +76,18 @@ def content_cache(files: DataFrame, folder: str, version: int, parse) -> DataFra
     """``hash`` and the columns of ``parse(misses)``, each different content parsed once over all runs.
 
     ``files`` has ``content``; ``parse`` takes ``hash, content`` and returns rows with ``hash``. Known hashes are read
-    from the parquet cache in ``folder`` under this schema version, the others are parsed and appended.
+    from the parquet cache in ``folder`` under this schema version, the others are parsed and appended. Caches of older
+    versions are removed; a newer one is refused.
     """
     spark, place = files.sparkSession, f"{folder}/v{version}"
-    newer = [int(n[1:]) for n in os.listdir(folder) if n.startswith("v") and n[1:].isdigit() and int(n[1:]) > version] if os.path.isdir(folder) else []
-    if newer:
-        raise ValueError(f"the cache is of version {max(newer)}, newer than {version}")
+    held = [int(n[1:]) for n in folders(spark, folder) if n.startswith("v") and n[1:].isdigit()]
+    if max(held, default=0) > version:
+        raise ValueError(f"the cache is of version {max(held)}, newer than {version}")
+    for old in held:
+        if old < version:
+            delete_folder(spark, f"{folder}/v{old}")
     wanted = files.where("content is not null").select(F.sha2("content", 256).alias("hash"), "content").groupBy("hash").agg(F.any_value("content").alias("content"))
-    if os.path.isdir(place):
+    if version in held:
         known = spark.read.parquet(place).dropDuplicates(["hash"])
         parse(wanted.join(known.select("hash"), "hash", "left_anti")).write.mode("append").parquet(place)
     else:
