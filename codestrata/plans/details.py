@@ -122,6 +122,13 @@ SQL = {
       g AS (SELECT DISTINCT side, scan_id, members FROM (SELECT x.side, x.scan_id, x.a, list_sort(list(DISTINCT x.b)) AS members FROM rc x JOIN rc y ON x.side = y.side AND x.scan_id = y.scan_id AND x.a = y.b AND x.b = y.a GROUP BY ALL) WHERE len(members) > 1)
       SELECT scan_id, members[1] AS component, len(members) AS size, CASE side WHEN 'new' THEN 'introduced' ELSE 'resolved' END AS change FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.side <> g.side AND h.scan_id = g.scan_id AND h.members = g.members)""",
     "loc_count": LOC_SQL,
+    "timeline_sample": f"""WITH {ROWS_SQL}, p AS (SELECT scan_id, commit_id, snap_time, idx, row_number() OVER w AS pos, max(snap_time) OVER s AS hi, min(snap_time) OVER s AS lo, count(*) OVER s AS total FROM n
+        WINDOW w AS (PARTITION BY scan_id ORDER BY snap_time DESC, idx DESC), s AS (PARTITION BY scan_id)),
+      q AS (SELECT *, least(6, total) AS want, pos = min(pos) OVER (PARTITION BY scan_id, round((hi - snap_time) / greatest(hi - lo, 1)::DOUBLE * 5)) AS newest FROM p),
+      c AS (SELECT *, count(*) FILTER (WHERE newest) OVER (PARTITION BY scan_id) AS chosen FROM q),
+      x AS (SELECT *, NOT newest AND chosen < want AND list_contains(list_transform(range(0, want), lambda k: CAST(floor(k * greatest(total / want::DOUBLE, 1.0)) AS BIGINT) + 1), pos) AS extra FROM c),
+      y AS (SELECT *, count(*) FILTER (WHERE extra) OVER (PARTITION BY scan_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM x)
+      SELECT scan_id, commit_id, snap_time, idx, strftime(make_timestamp(snap_time * 1000000), CASE WHEN hi - lo < 172800 THEN '%H:%M' WHEN hi - lo < 6480000 THEN '%m-%d' ELSE '%Y-%m' END) AS label FROM y WHERE newest OR (extra AND k <= want - chosen)""",
     "walk_outcome": f"""SELECT file_id, path, CASE WHEN {IN_SKIPPED} THEN 'SkippedDir' WHEN {BASE_NAME} IN ({", ".join(f"'{m}'" for m in T.MANIFESTS)}) OR regexp_matches({BASE_NAME}, '^tsconfig.*\\.json$') THEN 'Manifest'
       WHEN NOT regexp_matches(lower(path), '\\.(tsx?|[mc]ts|jsx?|[mc]js|rs|pyi?|go)$') THEN 'NoSource' WHEN NOT (path LIKE '%/%' OR path LIKE 's%') THEN 'NotIncluded' WHEN ends_with(path, '_pb2.py') OR path LIKE 'static/%' OR path LIKE 'tools/%' THEN 'Excluded'
       WHEN coalesce(bytes, octet_length(content), 0) > 4096 THEN 'TooLarge' WHEN regexp_matches(hex(content), '^([0-9A-F]{{2}})*?00') THEN 'Binary' ELSE 'Source' END AS outcome
