@@ -128,7 +128,7 @@ SQL = {
       c AS (SELECT *, count(*) FILTER (WHERE newest) OVER (PARTITION BY scan_id) AS chosen FROM q),
       x AS (SELECT *, NOT newest AND chosen < want AND list_contains(list_transform(range(0, want), lambda k: CAST(floor(k * greatest(total / want::DOUBLE, 1.0)) AS BIGINT) + 1), pos) AS extra FROM c),
       y AS (SELECT *, count(*) FILTER (WHERE extra) OVER (PARTITION BY scan_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM x)
-      SELECT scan_id, commit_id, snap_time, idx, strftime(make_timestamp(snap_time * 1000000), CASE WHEN hi - lo < 172800 THEN '%H:%M' WHEN hi - lo < 6480000 THEN '%m-%d' ELSE '%Y-%m' END) AS label FROM y WHERE newest OR (extra AND k <= want - chosen)""",
+      SELECT scan_id, commit_id, snap_time, idx, CASE WHEN hi - lo < 172800 THEN strftime(make_timestamp(snap_time * 1000000), '%H:%M') WHEN hi - lo < 6480000 THEN strftime(make_timestamp(snap_time * 1000000), '%m-%d') ELSE strftime(make_timestamp(snap_time * 1000000), '%Y-%m') END AS label FROM y WHERE newest OR (extra AND k <= want - chosen)""",
     "walk_outcome": f"""SELECT file_id, path, CASE WHEN {IN_SKIPPED} THEN 'SkippedDir' WHEN {BASE_NAME} IN ({", ".join(f"'{m}'" for m in T.MANIFESTS)}) OR regexp_matches({BASE_NAME}, '^tsconfig.*\\.json$') THEN 'Manifest'
       WHEN NOT regexp_matches(lower(path), '\\.(tsx?|[mc]ts|jsx?|[mc]js|rs|pyi?|go)$') THEN 'NoSource' WHEN NOT (path LIKE '%/%' OR path LIKE 's%') THEN 'NotIncluded' WHEN ends_with(path, '_pb2.py') OR path LIKE 'static/%' OR path LIKE 'tools/%' THEN 'Excluded'
       WHEN coalesce(bytes, octet_length(content), 0) > 4096 THEN 'TooLarge' WHEN regexp_matches(hex(content), '^([0-9A-F]{{2}})*?00') THEN 'Binary' ELSE 'Source' END AS outcome
