@@ -53,7 +53,7 @@ def delivered_rows(files: DataFrame, pieces: int = PIECES) -> DataFrame:
 
     Buckets hold a ``piece`` of a scan's paths each, so all rows of a path are together and a scan of any size is split
     over tasks. ``node`` is the 64-bit hash of the path and ``targets`` holds those of ``depends_on``: two paths of a
-    scan share one with a chance of 1 in 10^13 for a thousand paths. A blob of hex digits is kept as bytes, any other as
+    scan share one with a chance of about 3 in 10^14 for a thousand paths. A blob of hex digits is kept as bytes, any other as
     text.
     """
     blob = F.lower("blob")
