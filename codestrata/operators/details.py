@@ -45,10 +45,11 @@ def find_files(files: DataFrame, asked: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, n, F.size(parts))))
     tails = files.select("scan_id", "path", F.posexplode(ends).alias("at", "asked"))
-    met = asked.select("scan_id", "asked").distinct().join(tails, ["scan_id", "asked"], "left")
-    told = met.groupBy("scan_id", "asked").agg(F.max(F.when(F.col("at") == 0, F.col("path"))).alias("exact"), F.count("path").alias("n"), F.min("path").alias("first"))
-    second = met.join(told.select("scan_id", "asked", "first"), ["scan_id", "asked"]).where("path <> first").groupBy("scan_id", "asked").agg(F.min("path").alias("also"))
-    both = told.join(second, ["scan_id", "asked"], "left")
+    # merged by hint: the optimizer takes the exploded tails for no larger than the files, and would broadcast them
+    tails = tails.hint("merge")
+    key = ["scan_id", "asked"]
+    told = asked.select(*key).distinct().join(tails, key, "left").groupBy(*key).agg(F.max(F.when(F.col("at") == 0, F.col("path"))).alias("exact"), F.count("path").alias("n"), F.min("path").alias("first"))
+    both = told.join(tails, key, "left").groupBy(*key).agg(F.max("exact").alias("exact"), F.max("n").alias("n"), F.min("first").alias("first"), F.min(F.when(F.col("path") != F.col("first"), F.col("path"))).alias("also"))
     return both.select("scan_id", "asked", F.coalesce("exact", "first").alias("path"), F.when(F.col("exact").isNotNull(), 1).otherwise(F.col("n")).cast("long").alias("hits"), F.when(F.col("exact").isNull(), F.col("also")).alias("also"))
 
 

@@ -282,3 +282,15 @@ def test_graphs_too_large_for_a_task_agree(spark):
     rows_of = lambda df: sorted(map(tuple, df.collect()))
     for both in (lambda n: graph.reach(es, seeds, task_edges=n), lambda n: graph.impact(es, seeds.selectExpr("scan_id", "seed AS path"), task_edges=n), lambda n: graph.levels(fs, es, groups, task_edges=n).select("scan_id", "path", "level"), lambda n: graph.shortest_cycles(es, groups, task_edges=n).select("scan_id", "component", "chain")):
         assert rows_of(both(0)) == rows_of(both(1000))
+
+
+def test_file_lookup_broadcasts_no_tails(spark):
+    from codestrata.operators import details
+    from codestrata.session import stage
+
+    fs = stage(files(spark, ("a/x.ts", 1), ("b/x.ts", 1), ("c/x.ts", 1), ("y.ts", 1), ("a/y.ts", 1), ("b/z.ts", 1)))
+    asked = spark.createDataFrame([(1, a) for a in ("x.ts", "y.ts", "z.ts", "b/x.ts", "none.ts", "x.ts")] + [(None, "x.ts")], "scan_id long, asked string")
+    found = details.find_files(fs, asked)
+    assert {(r.scan_id, r.asked): (r.path, r.hits, r.also) for r in found.collect()} == {
+        (1, "x.ts"): ("a/x.ts", 3, "b/x.ts"), (1, "y.ts"): ("y.ts", 1, None), (1, "z.ts"): ("b/z.ts", 1, None), (1, "b/x.ts"): ("b/x.ts", 1, None), (1, "none.ts"): (None, 0, None), (None, "x.ts"): (None, 0, None)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
