@@ -273,27 +273,26 @@ def whole(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def page_keys(lines: list[str], max_lines: int) -> list[tuple[int, list[int]]]:
-    """``(key, keys of its sentences)`` of a short page as it stands and with each position open; the same for all pages of a template.
+def page_keys(lines: list[str]) -> tuple[list[int], list[int]]:
+    """The keys of a page's sentences, and of the page: as it stands, then with each sentence left open; the same for all pages of a template.
 
-    Pages with code or quotes are texts about something.
+    Pages with code or quotes are texts about something. The work is in proportion to the page, however many sentences it has.
     """
-    if not 0 < len(lines) <= max_lines or any(c in line for line in lines for c in "`“"):
-        return []
+    if any(c in line for line in lines for c in "`“"):
+        return [], []
     wholes = [whole(line) for line in lines]
-    fold = lambda keys: whole(" ".join(map(str, keys)))
-    out = [(fold(wholes), sorted(set(wholes)))]
-    for n, line in enumerate(lines):
-        parts = segments(line)
-        left = rest_weights(parts)
-        for key, i, j in opened(parts):
-            if left(i, j) >= 2:
-                keys = [*wholes[:n], key, *wholes[n + 1 :]]
-                out.append((fold(keys), sorted(set(keys))))
-    return out
+    before, behind = [3], [5]
+    for w in wholes:
+        before.append((before[-1] * 0x9E3779B97F4A7C15 + w) & _ALL)
+    for w in reversed(wholes):
+        behind.append((behind[-1] * 0xC2B2AE3D27D4EB4F + w) & _ALL)
+    behind.reverse()
+    around = [_signed((before[i] * 0x165667B19E3779F9 + behind[i + 1] * 0x27D4EB2F165667C5) & _ALL) for i in range(len(wholes))]
+    return wholes, [_signed(before[-1]), *around]
 
 
-def _explode(batches: Iterator[pd.DataFrame], max_lines: int) -> Iterator[pd.DataFrame]:
+@frame_stage
+def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for doc, text, source in zip(pdf["doc_id"], pdf["text"], pdf["source"]):
@@ -304,45 +303,62 @@ def _explode(batches: Iterator[pd.DataFrame], max_lines: int) -> Iterator[pd.Dat
                 if role == "text":
                     part[2].update(((key, fill), kind) for key, fill, kind in fills(line, cased, tuple(s for s, _ in slots)))
                     part[2][whole(line), 0] = WHOLE
-                if role != "chrome" and len(page) <= max_lines:
+                if role != "chrome":
                     page.append(line)
             has_core = any(role == "core" for role, _, _ in parts.values())
-            pages = page_keys(page, max_lines) if all(role in ("text", "chrome") for role, _, _ in parts.values()) else []
+            page, around = page_keys(page) if page and all(role in ("text", "chrome") for role, _, _ in parts.values()) else ([], [])
             for line, (role, slots, opens) in parts.items():
-                rows.append((doc, source, xxhash.xxh128_hexdigest(line), role, has_core, [s for s, _ in slots], [n for _, n in slots], [k for k, _ in opens], [f for _, f in opens], list(opens.values()), [k for k, _ in pages], [n for _, n in pages]))
-                pages = []
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "skeleton", "role", "has_core", "styles", "names", "keys", "fills", "kinds", "pages", "needs"])
+                rows.append((doc, source, xxhash.xxh128_hexdigest(line), role, has_core, [s for s, _ in slots], [n for _, n in slots], [k for k, _ in opens], [f for _, f in opens], list(opens.values()), page, around))
+                page, around = [], []
+        yield pd.DataFrame(rows, columns=["doc_id", "source", "skeleton", "role", "has_core", "styles", "names", "keys", "fills", "kinds", "page", "around"])
 
 
-def sentence_table(documents: DataFrame, max_lines: int = 6) -> DataFrame:
+def sentence_table(documents: DataFrame) -> DataFrame:
     """One row per document and different sentence: ``doc_id, source, skeleton`` (a hash) ``, role, has_core, styles, names``
-    and its opened positions, ``keys, fills, kinds``. The first of a document of ``max_lines`` or less has its ``pages, needs`` (:func:`page_keys`)."""
+    and its opened positions, ``keys, fills, kinds``. The first of a text without messages and filler has its ``page, around`` (:func:`page_keys`)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     source = F.col("source").cast("string") if "source" in documents.columns else F.lit(None).cast("string")
     texts = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text", source.alias("source"), F.xxhash64("text", "source").alias("h")), "doc_id", shuffled=True).dropDuplicates(["doc_id", "h", "text"]).drop("h")
-    work = frame_stage(lambda frames: _explode(frames, max_lines))
-    return texts.mapInPandas(work, f"doc_id {kind}, source string, skeleton string, role string, has_core boolean, styles array<string>, names array<string>, keys array<long>, fills array<long>, kinds array<int>, pages array<long>, needs array<array<long>>")
+    return texts.mapInPandas(_explode, f"doc_id {kind}, source string, skeleton string, role string, has_core boolean, styles array<string>, names array<string>, keys array<long>, fills array<long>, kinds array<int>, page array<long>, around array<long>")
 
 
 def repeated_pages(parts: DataFrame, min_pages: int = 5, min_share: float = 0.5, min_sources: int = 2) -> DataFrame:
-    """``doc_id`` of short pages that ``min_pages`` documents repeat, as they stand or with one position varying.
+    """``doc_id`` of pages of any length that ``min_pages`` documents repeat, as they stand or with one position varying.
 
     Every sentence of such a page must occur in repeated pages in ``min_share`` or more of its documents, so that a short
     remark is none; and the page must come from ``min_sources`` sources, as an error takes the place of any text while a
     formula ("initial commit") belongs to one kind. Pages without a varying
     position need not where the table has less sources; with one they could as well be filled records.
+
+    A position is opened only in sentences beside which ``min_pages`` documents are equal, as in all others it varies for
+    nothing; so a document makes one key for a sentence, and one for a position only where they can meet.
     """
-    pages = parts.where(F.size("pages") > 0).select("doc_id", "source", F.posexplode(F.arrays_zip("pages", "needs")).alias("at", "p")).select("doc_id", "source", (F.col("at") == 0).alias("fixed"), F.col("p.pages").alias("page"), F.col("p.needs").alias("needs"))
+    texts = parts.where(F.size("page") > 0).select("doc_id", "source", "page", "around", F.col("around")[0].alias("text"))
     sources = parts.select("source").where("source is not null").distinct().limit(min_sources).agg(F.count("*").alias("known"))
-    counted = pages.groupBy("page").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("source").alias("sources"), F.bool_or("fixed").alias("fixed")).where(F.col("docs") >= min_pages)
+    lines = texts.select("doc_id", "source", "text", "page", F.posexplode("around").alias("at", "rest")).where("at > 0").select("doc_id", "source", "text", "at", "rest", F.expr("page[at - 1]").alias("line"), (F.size("page") == 1).alias("alone"))
+    met = lines.where("not alone").groupBy("rest").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= min_pages).select("rest")
+    candidates = lines.where("alone").unionByName(lines.where("not alone").join(met.hint("merge"), "rest", "left_semi"))
+    # the keys of a sentence are the same in all documents; merged by hint, as their lists are longer than the optimizer takes them for
+    opens = parts.where(F.size("keys") > 0).select(F.expr(f"filter(keys, (k, i) -> kinds[i] = {WHOLE})[0]").alias("line"), F.expr(f"array_distinct(filter(keys, (k, i) -> kinds[i] >= 0 and kinds[i] < {THIN}))").alias("opens"))
+    opened_lines = opens.where(F.size("opens") > 0).join(candidates.select("line").distinct().hint("merge"), "line", "left_semi").groupBy("line").agg(F.max("opens").alias("opens"))
+    found = stage(candidates.join(opened_lines.hint("merge"), "line").select("doc_id", "source", "text", "at", "rest", "opens"))
+    pages = found.select("doc_id", "source", "text", "at", "rest", F.explode("opens").alias("key")).withColumn("page", F.xxhash64("rest", "key")).drop("rest")
+    pages = pages.unionByName(texts.select("doc_id", "source", "text", F.lit(0).alias("at"), F.lit(None).cast("long").alias("key"), F.col("text").alias("page")))
+    counted = pages.groupBy("page").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("source").alias("sources"), F.bool_or(F.col("at") == 0).alias("fixed")).where(F.col("docs") >= min_pages)
     families = counted.crossJoin(F.broadcast(sources)).where((F.col("sources") >= min_sources) | (F.col("fixed") & (F.col("known") < min_sources))).select("page")
-    members = stage(pages.join(families, "page", "left_semi").drop("source", "fixed"))
-    needed = members.select("doc_id", "page", F.explode("needs").alias("key"))
+    members = stage(pages.join(families.hint("merge"), "page", "left_semi").select("doc_id", "text", "at", "key").distinct())
+    # a page needs the keys of its sentences, that of the open position instead of its own sentence; a text that is open in one sentence only does not need that one
+    spans = members.groupBy("doc_id", "text").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    held = stage(texts.select("doc_id", "text", "page").join(spans.hint("merge"), ["doc_id", "text"]))
+    beside = F.when((F.col("low") == F.col("high")) & (F.col("low") > 0), F.expr("concat(slice(page, 1, low - 1), slice(page, low + 1, size(page)))")).otherwise(F.col("page"))
+    needed = held.select("doc_id", F.explode(F.array_distinct(beside)).alias("key")).unionByName(members.where("key is not null").select("doc_id", "key"))
     inside = needed.groupBy("key").agg(F.count_distinct("doc_id").alias("inside"))
     everywhere = parts.select("doc_id", F.explode("keys").alias("key")).join(inside, "key", "left_semi").groupBy("key").agg(F.count_distinct("doc_id").alias("docs"))
-    usual = inside.join(everywhere, "key").where(F.col("inside") < min_share * F.col("docs")).select("key")
-    real = needed.join(usual, "key", "left_semi").select("page").distinct()
-    return members.join(real, "page", "left_anti").select("doc_id").distinct()
+    usual = stage(inside.join(everywhere, "key").where(F.col("inside") < min_share * F.col("docs")).select("key"))
+    shown = held.groupBy("text").agg(F.max("page").alias("page")).select("text", F.posexplode("page").alias("i", "key"))
+    real = shown.join(usual, "key", "left_semi").groupBy("text").agg(F.count("*").alias("usual"), (F.min("i") + 1).alias("first"))
+    whole_pages = members.join(usual, "key", "left_anti").join(real, "text", "left").where("usual is null or usual = 1 and first = at")
+    return whole_pages.select("doc_id").distinct()
 
 
 def unfilled(parts: DataFrame, variables: DataFrame, min_fills: int = 3, min_default: int = 10, times: float = 5.0) -> DataFrame:
@@ -380,7 +396,7 @@ def residue(documents: DataFrame, min_documents: int = 2, min_styles: int = 3, m
     made of an error message or script notice and of sentences that belong to such pages. Those are induced: sentences
     of which ``min_share`` or more come with a message, and whose template (all but one position) ``min_documents`` or more
     such pages share. A page of two such sentences and one that is not known is a page with an unknown message.
-    Short pages that many documents repeat are pages whatever they say (:func:`repeated_pages`). Code,
+    Texts that many documents repeat are pages whatever they say (:func:`repeated_pages`). Code,
     inline code, quotes and a title line are not looked into.
 
     Null, empty and blank texts are never residue, nor are documents of null id; rows that repeat a document count once;

@@ -83,3 +83,20 @@ def test_residue_finds_repeated_pages(spark):
     assert out == {i: "page" for i in range(len(left))}
     one_kind = spark.createDataFrame([(i, "Initial commit of all files.", "commit") for i in range(9)] + [(i, f"The gate at {h} is shut.", s) for i, (h, s) in enumerate(zip(hosts, ["web", "issue"] * 3), 20)], "doc_id long, text string, source string")
     assert {r.doc_id for r in residue.residue(one_kind).collect()} == set(range(20, 26))
+
+
+LONG_PAGE = ["The kiosk named {} is resting now.", *[f"Bench {w} waits beside the kiosk wall." for w in "amber birch cedar dusk elder fern gorse hazel ivy".split()], "Please come back when it wakes."]
+
+
+def test_residue_finds_repeated_pages_of_any_length(spark):
+    hosts = "kestrel heron plover avocet dunlin curlew".split()
+    left = ["\n".join(LONG_PAGE).format(h) for h in hosts]
+    # equal but for two positions, or in too few documents: no pages
+    two = ["\n".join(["The {} lamp near gate five is broken.", *[f"Row {w} of the {w} list is empty today." for w in "one two three four five six seven".split()], "Ask the {} clerk about the lamp."]).format(h, h) for h in hosts]
+    few = ["\n".join([f"Shelf {w} holds nothing but old {w} jars." for w in "ash bay cob dew elm fir gum".split()])] * 4
+    rows = [(i, t, ["web", "issue"][i % 2]) for i, t in enumerate([*left, *two, *few])]
+    out = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out == {i: "page" for i in range(len(left))}
+    # the other sentences of a page of which one is usual elsewhere make none
+    usual = [(100 + i, f"{LONG_PAGE[3]} Note {w} on {w} is the {i}th.", "web") for i, w in enumerate("a b c d e f g h".split())]
+    assert residue.residue(spark.createDataFrame([*rows, *usual], "doc_id long, text string, source string")).count() == 0
