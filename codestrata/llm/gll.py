@@ -3,8 +3,10 @@
 A grammar is written as regular right-hand sides. Each rule becomes a small deterministic automaton over terminals and
 rule names; a parser walks these automata. Where more than one step is possible, all are followed at once: calls of one
 rule at one position share one node of the graph-structured stack, with all their return places and all the positions
-where the rule ended. So any grammar is handled, ambiguous and left-recursive ones included, in polynomial time, while
-stretches with one possible step run as a plain loop.
+where the rule ended. So any grammar is handled, ambiguous and left-recursive ones included, in polynomial time.
+
+Sources have few open stacks at most places. There the graph is kept as a chain of parts, each the set of stacks between
+two points that all stacks pass; what a part becomes at a terminal is worked out once, for all files, and looked up later.
 
 Notation: ``Rule = alternatives ;`` with ``'text'`` and ``UPPER`` terminals, ``|``, ``*``, ``+``, ``?``, parentheses,
 ``@Name`` for a macro (``@Name := alternatives ;``), and ``Rule-('a' 'b')`` for a call that the listed terminals don't start.
@@ -33,6 +35,13 @@ class Grammar:
         self.rules = sorted(self.trees)
         self._automata()
         self._tables(starts)
+        self._parts: dict[tuple, Parts] = {}
+
+    def parts(self, starts: list[str]) -> Parts:
+        key = tuple(starts)
+        if key not in self._parts:
+            self._parts[key] = Parts(self.steps, [(name, self.start[name]) for name in starts])
+        return self._parts[key]
 
     # -- reading -------------------------------------------------------------------------------------------------
     def _read(self, text: str, dialects: frozenset[str]) -> None:
@@ -252,8 +261,132 @@ class Grammar:
         return {p + t for t in label[2] for p in ("", NL)}
 
 
+class Part(dict):
+    """The stacks above one point of the stack graph that all of them pass, as tuples of states; maps a terminal to what comes next, once worked out."""
+
+    __slots__ = ("parts", "stacks")
+
+    def __init__(self, parts: Parts, stacks: frozenset[tuple]):
+        self.parts, self.stacks = parts, stacks
+
+    def __missing__(self, tok: str) -> object:
+        self[tok] = found = self.parts.after(self.stacks, tok)
+        return found
+
+
+POP, JOIN, GRAPH = "pop", "join", "graph"
+
+
+class Parts:
+    """Parts of the stack graph, each with its steps worked out once for all files.
+
+    What a part maps a terminal to: the part after it was taken; a pair of parts, of which the lower is put aside; POP
+    where all stacks end before the terminal; JOIN where only some do, so that what lies below must be looked at with
+    them; GRAPH where the stacks are too many or too high; else the start rules that are derived, an empty set where none is.
+    """
+
+    HIGH, KEPT = 8, 4  # states of a stack: more are split, so many stay in the upper part
+    HIGHEST, MOST = 48, 64  # states of a stack and stacks of a part, above which the graph is walked
+    ROOM, SLICE = 40_000, 20_000  # parts that are kept, looked at after so many tokens
+
+    def __init__(self, steps: list[dict], starts: list[tuple[str, int]]):
+        self.steps, self.names = steps, [name for name, _ in starts]
+        self.bottom = frozenset((-1 - k, state) for k, (_, state) in enumerate(starts))
+        self.known: dict[frozenset, Part] = {}
+
+    def part(self, stacks: frozenset[tuple]) -> Part:
+        part = self.known.get(stacks)
+        if part is None:
+            part = self.known[stacks] = Part(self, stacks)
+        return part
+
+    def trimmed(self, chain: list[Part]) -> list[Part]:
+        """The same parts, without what was worked out before where that is too much."""
+        if len(self.known) <= self.ROOM:
+            return chain
+        for part in self.known.values():
+            part.clear()  # else rings of parts would wait for the collector
+        self.known = {}
+        return [self.part(p.stacks) for p in chain]
+
+    def joined(self, below: Part, part: Part) -> Part:
+        return self.part(frozenset(p + u for p in below.stacks for u in part.stacks))
+
+    def after(self, stacks: frozenset[tuple], tok: str) -> object:
+        steps, todo, seen = self.steps, list(stacks), set(stacks)
+        taken, ends, derived = set(), False, set()
+        while todo:
+            stack = todo.pop()
+            under, s = stack[:-1], stack[-1]
+            if s < 0:
+                if tok in (EOF, NL + EOF):
+                    derived.add(self.names[-1 - s])
+                continue
+            step = steps[s].get(tok, ())
+            if step.__class__ is int:
+                taken.add((*under, step))
+                continue
+            for kind, a, b in step:
+                if kind == "take":
+                    taken.add((*under, a))
+                    continue
+                new = (*under, b, a) if kind == "call" else (*under, a) if kind == "pass" else under
+                if not new:
+                    ends = True
+                elif new not in seen:
+                    seen.add(new)
+                    todo.append(new)
+            if len(seen) > self.MOST or len(stack) > self.HIGHEST:
+                return GRAPH
+        if ends:
+            return JOIN if taken else POP
+        return self._split(frozenset(taken)) if taken else frozenset(derived)
+
+    def _split(self, stacks: frozenset[tuple]) -> Part | tuple[Part, Part]:
+        """The part of these stacks; of high ones the lower and the upper parts whose combinations they are."""
+        one = max(stacks, key=len)
+        if len(one) > self.HIGH:
+            for kept in (*range(self.KEPT, 0, -1), *range(self.KEPT + 1, len(one))):
+                low, up = one[:-kept], one[-kept:]
+                ups = [s[len(low):] for s in stacks if s[: len(low)] == low and len(s) > len(low)]
+                lows = [s[:-kept] for s in stacks if s[-kept:] == up and len(s) > kept]
+                if len(ups) * len(lows) == len(stacks) and all(p + u in stacks for p in lows for u in ups):
+                    return self.part(frozenset(lows)), self.part(frozenset(ups))
+        return self.part(stacks)
+
+
 def recognise(grammar: Grammar, tokens: list[str], starts: list[str]) -> set[str]:
-    """The start rules that derive the whole token list (whose last token is EOF). All start rules run over one shared stack graph."""
+    """The start rules that derive the whole token list (whose last token is EOF). All start rules run over one shared stack graph.
+
+    As long as few stacks are open, the graph is a chain of parts, whose steps are shared by all files; where more are,
+    it is walked node by node.
+    """
+    parts = grammar.parts(starts)
+    part, below = parts.part(parts.bottom), []
+    for at in range(0, len(tokens), parts.SLICE):
+        *below, part = parts.trimmed([*below, part])
+        for tok in tokens[at : at + parts.SLICE]:
+            then = part[tok]
+            while then.__class__ is not Part:
+                if then.__class__ is tuple:
+                    below.append(then[0])
+                    then = then[1]
+                    continue
+                if then is POP:
+                    part = below.pop()
+                elif then is JOIN:
+                    part = parts.joined(below.pop(), part)
+                elif then is GRAPH:
+                    return walk_graph(grammar, tokens, starts)
+                else:
+                    return set(then)
+                then = part[tok]
+            part = then
+    return walk_graph(grammar, tokens, starts)
+
+
+def walk_graph(grammar: Grammar, tokens: list[str], starts: list[str]) -> set[str]:
+    """What :func:`recognise` gives, with every node of the stack graph made."""
     steps, size = grammar.steps, len(grammar.steps)
     root: tuple = ([], [], 0)
     nodes: dict[int, tuple] = {}

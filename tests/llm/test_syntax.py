@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from codestrata.llm import syntax
+from codestrata.llm import gll, syntax
 from codestrata.llm.gll import EOF, Grammar, recognise
 
 GOOD = {
@@ -132,3 +132,50 @@ def test_what_looks_right_to_a_looser_grammar():
     for language, texts in good.items():
         for text in texts:
             assert syntax.parses(language, text), (language, text)
+
+
+def mutations(language, rng, count):
+    """Token lists of the sources above, most with a token or two lost, put in or swapped."""
+    lists = [t for text in GOOD[language] + BAD[language] if (t := syntax.LANGUAGES[language][3](text)) and len(t) > 1]
+    for _ in range(count):
+        *body, end = rng.choice(lists)
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(body) + 1)
+            body[i : i + rng.randrange(2)] = rng.choice([[], [rng.choice(rng.choice(lists)[:-1])]])
+        yield [*body, end]
+
+
+@pytest.mark.parametrize("language", GOOD)
+def test_shared_steps_agree_with_the_stack_graph(language, monkeypatch):
+    """Parts of any size, joined and forgotten at any place, give what the graph gives, node by node."""
+    rng, graph, starts = random.Random(7), gll.walk_graph, list(syntax.LANGUAGES[language][2])
+    walked = []
+    monkeypatch.setattr(gll, "walk_graph", lambda *a: walked.append(a) or graph(*a))
+    for sizes in ({}, {"HIGH": 2, "KEPT": 1, "ROOM": 20, "SLICE": 5}, {"HIGH": 3, "KEPT": 2, "MOST": 6, "HIGHEST": 9}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(gll.Parts, name, value)
+        grammar = Grammar(syntax.LANGUAGES[language][0], starts, frozenset(syntax.LANGUAGES[language][1]))
+        for tokens in mutations(language, rng, 150):
+            assert recognise(grammar, tokens, starts) == graph(grammar, tokens, starts), tokens
+        assert sizes or not walked  # plain sources need no graph
+
+
+def test_like_statements_are_worked_out_once(monkeypatch):
+    """What costs time, the steps worked out, does not grow with the text; before, each call of a rule made nodes of its own."""
+    monkeypatch.setattr(gll, "walk_graph", None)
+    work = []
+    after = gll.Parts.after
+    monkeypatch.setattr(gll.Parts, "after", lambda *a: work.append(a) or after(*a))
+    for language, line in (("js", "x.y(a, {b: [c, 1]}).z = (d) => { return e[f] };\n"), ("py", "x.y(a, {b: [c, 1]}).z = lambda d: e[f]\n"), ("rs", "fn f(a: B<C>) -> D { e.f(&g)?; match h { I(j) => k, _ => {} } }\n")):
+        syntax.grammar_of(language)._parts.clear()
+        assert syntax.parses(language, line * 3)
+        few = len(work)
+        assert syntax.parses(language, line.replace("(a", "(other") * 3000) and not syntax.parses(language, line * 3000 + "(") and len(work) < few + 20
+        work.clear()
+
+
+def test_ambiguous_grammars_leave_the_shared_steps():
+    g = Grammar("Many = Many Many | 'a' ; Pal = 'a' Pal 'a' | 'b' Pal 'b' | 'a' | 'b' ;", ["Many", "Pal"])
+    assert recognise(g, ["a"] * 25 + [EOF], ["Many", "Pal"]) == {"Many", "Pal"}
+    long = ["a", "b"] * 60
+    assert recognise(g, [*long, "a", *reversed(long), EOF], ["Pal"]) == {"Pal"} and not recognise(g, [*long, "a", *long, EOF], ["Pal"])
