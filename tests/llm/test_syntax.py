@@ -179,3 +179,24 @@ def test_ambiguous_grammars_leave_the_shared_steps():
     assert recognise(g, ["a"] * 25 + [EOF], ["Many", "Pal"]) == {"Many", "Pal"}
     long = ["a", "b"] * 60
     assert recognise(g, [*long, "a", *reversed(long), EOF], ["Pal"]) == {"Pal"} and not recognise(g, [*long, "a", *long, EOF], ["Pal"])
+
+
+def test_what_follows_a_comment_or_ends_nowhere():
+    """An odd character or an open string behind a comment stays one, though a later comment or string would end it; a zero byte breaks a source, not the task."""
+    for language, text in (("js", "x = 1 /* a */ § /* b */\n"), ("ts", "x /* a */ 'b\n/* c */\n"), ("go", "package a /* a */ § /* b */\n"), ("go", "package a\nvar x = 1 // `\n§ // `\n"),
+                           ("rs", "m! { a /* b */ § /* c */ }\n"), ("rs", "m! { r###\" }\nm! { \" }\n"), ("rs", "m! { /* /* */ }\n"), ("py", "x = '\0'\n"), ("py", "x = 1\n# a\0\n"), ("js", "a\0"), ("go", "package a\0"), ("rs", "\0")):
+        assert not syntax.parses(language, text), (language, text)
+    for language, text in (("js", "x = 1 /* a */ / 2 /* b */\n"), ("go", "package a /* a\n */ var x = 1 /* b */ // `\n"), ("rs", "m! { a /* b /* c */ d */ r###\" \"## \"### br####\"\"#### }\n/* /* */ /**/ */ fn f() { x /***/ ; /*/ */ }\n")):
+        assert syntax.parses(language, text), (language, text)
+
+
+def test_lexemes_that_are_kept_depend_on_nothing_before():
+    """Words behind dots, numbers with odd ends, slashes and brackets are told anew after others that look alike."""
+    ecma = syntax.lexers.ecma
+    for _ in range(2):
+        assert ecma("a.if; if\n.if ?. if") == ["NAME", ".", "NAME", ";", "if", "\n.", "NAME", "?.", "NAME", "<eof>"]
+        assert ecma("a = 0; b = 0x") is None and ecma("a = 0; b = 0") == ["NAME", "=", "NUM", ";", "NAME", "=", "NUM", "<eof>"]
+        assert ecma("if (a) /b/; (a) /b/ {} /c/")[4:] == ["REGEX", ";", "(", "NAME", ")", "/", "NAME", "/", "{", "}", "/", "NAME", "/", "<eof>"]
+        assert ecma("`${{}}${`a`}`\n`b`") == ["TPL_HEAD", "{", "}", "TPL_MID", "TPL", "TPL_TAIL", "\nTPL", "<eof>"]
+    assert syntax.lexers.go("package a\nx := 1 /* b\n */ y /* c */ z") == ["package", "NAME", ";", "NAME", ":=", "NUM", ";", "NAME", "NAME", ";", "<eof>"]
+    assert syntax.lexers.rust("b'a' 'a r#if if rb br\"x\" 1..2 1.0f64") == ["CHAR", "LIFETIME", "NAME", "if", "NAME", "STR", "NUM", "..", "NUM", "NUM", "<eof>"]
